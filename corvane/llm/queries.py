@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, neardup, overlap, split
+from corvane.llm import bpe, neardup, overlap, split, truncation
 from corvane.sources.tables import table
 
 
@@ -50,4 +50,12 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "documents"))[0].where("truncated").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.rates(truncation.truncated(table(spark, folder, "documents"))[0])
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
