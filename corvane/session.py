@@ -15,8 +15,11 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers, once per application."""
+    """Makes this package importable in the Python workers, once per application, and unless the session sets another
+    size, lets an Arrow batch hold at most 1,000 rows, as rows are whole texts."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
