@@ -32,6 +32,8 @@ _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _SHAPE = re.compile(r"[A-Za-z0-9_$]+")
 _IMPORT = re.compile(r"(?:import|from|package|using)\b|(?:const|var|let) .{0,80}\brequire\(|[\"')(};]+$")
 _DATA = re.compile(r"(?:[-+]?\b(?:0x[0-9a-fA-F]+|\d[\d.eE]*)\b[\s,;:\[\](){}]*){6,}|[A-Za-z0-9+/=\\]{32,}")
+_DIGITS = re.compile(r"\d+")
+_WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
 _COMMENT = re.compile(r"^\s*(?:#|//|/?\*+|\"\"\"|''')")
 
 # Notices that tools and bundlers leave in comments at a file's head.
@@ -48,7 +50,7 @@ MINIFIED_PATH = re.compile(r"[.-]min\.\w+$")
 
 SCHEMA = (
     "file_version_id string, repo string, path string, language string, chars int, lines int, names int, distinct int, words array<string>, counts array<int>, short double, longest int,"
-    " dense double, shapes double, figures double, snake double, generated boolean, vendored boolean, vendored_path boolean, generated_path boolean, minified_path boolean"
+    " dense double, shapes double, figures double, templated double, snake double, generated boolean, vendored boolean, vendored_path boolean, generated_path boolean, minified_path boolean"
 )
 
 
@@ -70,10 +72,106 @@ def features(path: str, language: str, text: str) -> tuple:
     data = sum(len(x) for x in _DATA.findall(text))
     wordy = [x for x in names if len(x) > 3]
     snake = sum("_" in x.strip("_") for x in wordy) / max(1, sum("_" in x.strip("_") or x[1:].lower() != x[1:] for x in wordy))
-    common = sum(c for s, c in shape.most_common(6) if len(s) > 8)
+    form = {x: _DIGITS.sub("#", _WORD.sub("w", x)) for x in names if _DIGITS.search(x)}
+    family = Counter(form.values())
+    templated = sum(names[x] for x, f in form.items() if family[f] >= 5) / max(1, n)
+    common = sum(c for s, c in shape.most_common(6) if len(s) > 4)
     return (
         len(text), len(lines), n, len(names), list(names), list(names.values()),
         sum(c for x, c in names.items() if len(x) <= 2) / max(1, n), max(raw, default=0), max(long, packed) / solid, common / max(1, len(body)),
-        data / max(1, len(text)), snake, bool(GENERATED_NOTICE.search(head)), bool(VENDORED_NOTICE.search(head)),
+        data / max(1, len(text)), templated, snake, bool(GENERATED_NOTICE.search(head)), bool(VENDORED_NOTICE.search(head)),
         bool(VENDORED_PATH.search(path)), bool(GENERATED_PATH.search(path)), bool(MINIFIED_PATH.search(path)),
     )
+
+
+def _trigrams(word: str):
+    w = f"^{word[:64]}$"
+    return (w[i : i + 3] for i in range(len(w) - 2))
+
+
+def classify(evidence: DataFrame, mangled: float = 0.55, odd: float = 0.35, short: float = 0.3, figures: float = 0.5, templated: float = 0.3, shapes: float = 0.8, foreign: float = 0.7) -> DataFrame:
+    """(file_version_id, repo, path, language, kind, excess): one row per file version of a known extension with a file
+    unit; kind is minified, data, generated, vendored or null for hand-written source.
+
+    A character trigram model of each language is counted over the names of all its files, once per file; a file's
+    cross-entropy is compared with the language's median, `excess` bits over it.
+    - minified: names over `mangled` bits in excess, of which a share of over `short` have one or two characters, or a
+      path that says so.
+    - data: numbers and unbroken literals fill over `figures` of the text.
+    - generated: over `templated` of the names are numbered members of one template; or six line shapes make up over
+      `shapes` of a body whose names are `odd` bits in excess; or the head's comments or the path say so.
+    - vendored: the path or the head's comments say so; or the names' style is `foreign` to the repository's files of
+      that language, although they are names of the language.
+    Notices count in comments at the head only, so a file that speaks of generated code is no case.
+
+    The model has at most 65^3 trigrams a language, which bounds the broadcast. Null content counts as empty, an empty
+    file is hand-written, a null path has no extension; repeated rows give one row; other columns are ignored."""
+    spark = evidence.sparkSession
+    ship(spark)
+    language = F.element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), F.regexp_extract("path", r"\.(py|js|java|go)$", 1))
+    src = (
+        evidence.where("unit_type = 'file' and file_version_id is not null")
+        .select("file_version_id", F.coalesce("repo", F.lit("")).alias("repo"), "path", language.alias("language"), F.coalesce("content", F.lit("")).alias("content"))
+        .where("language is not null")
+    )
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def look(frames):
+        for f in frames:
+            rows = [(i, r, p, k, *features(p, k, t)) for i, r, p, k, t in f[["file_version_id", "repo", "path", "language", "content"]].itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=names)
+
+    seen = materialize(src.mapInPandas(look, SCHEMA), "names")
+
+    def count(frames):
+        c: dict[str, Counter] = {}
+        for f in frames:
+            for k, words in zip(f["language"], f["words"]):
+                own = c.setdefault(k, Counter())
+                for w in words:
+                    own.update(_trigrams(w))
+        rows = [(k, g, n) for k, own in c.items() for g, n in own.items()]
+        yield pd.DataFrame(rows, columns=["language", "gram", "n"])
+
+    grams = seen.select("language", "words").mapInPandas(count, "language string, gram string, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    model: dict[str, dict[str, int]] = {}
+    for r in grams.toLocalIterator():
+        model.setdefault(r.language, {})[r.gram] = r.n
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def entropy(kind: pd.Series, words: pd.Series, counts: pd.Series) -> pd.Series:
+        if not hasattr(shared, "bits"):
+            tables = {}
+            for k, own in shared.value.items():
+                heads = Counter()
+                for g, n in own.items():
+                    heads[g[:2]] += n
+                tables[k] = ({g: -math.log2((n + 0.1) / (heads[g[:2]] + 6.4)) for g, n in own.items()}, {h: -math.log2(0.1 / (n + 6.4)) for h, n in heads.items()})
+            shared.bits = tables
+        out = []
+        for k, ws, cs in zip(kind, words, counts):
+            bits, rest = shared.bits.get(k, ({}, {}))
+            total = n = 0.0
+            for w, c in zip(ws, cs):
+                for g in _trigrams(w):
+                    b = bits.get(g)
+                    total += c * (b if b is not None else rest.get(g[:2], 6.0))
+                    n += c
+            out.append(total / n if n else 0.0)
+        return pd.Series(out)
+
+    scored = materialize(seen.withColumn("bits", entropy("language", "words", "counts")).drop("words", "counts"), "scores")
+    middle = scored.where("names > 0").groupBy("language").agg(F.percentile_approx("bits", 0.5, 1000).alias("middle"))
+    style = scored.where("names >= 40").groupBy("repo", "language").agg(F.count("*").alias("files"), F.avg("snake").alias("style"))
+    c = F.col
+    x = scored.join(F.broadcast(middle), "language", "left").join(style, ["repo", "language"], "left").withColumn("excess", F.coalesce(c("bits") - c("middle"), F.lit(0.0)))
+    vendored = c("vendored_path") | c("vendored") | ((c("files") >= 5) & (c("names") >= 40) & (F.abs(c("snake") - c("style")) >= foreign) & (c("excess") < odd / 2))
+    kind = (
+        F.when(c("lines") == 0, None)
+        .when(c("minified_path") | ((c("excess") > mangled) & (c("short") > short)), "minified")
+        .when(c("figures") > figures, F.when(c("generated") | c("generated_path") | (c("templated") > templated), "generated").otherwise("data"))
+        .when(c("generated") | c("generated_path") | (c("templated") > templated) | ((c("excess") > odd) & (c("shapes") > shapes) & (c("lines") >= 15) & (c("names") >= 30)), "generated")
+        .when(F.coalesce(vendored, F.lit(False)), "vendored")
+    )
+    return x.withColumn("kind", kind).groupBy("file_version_id").agg(*(F.max(n).alias(n) for n in ("repo", "path", "language", "kind", "excess")))

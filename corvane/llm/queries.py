@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, neardup, overlap, split, truncation
+from corvane.llm import bpe, handwritten, neardup, overlap, split, truncation
 from corvane.sources.tables import table
 
 
@@ -46,6 +46,16 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(*neardup.near_duplicates(table(spark, folder, "evidence")))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.classify(table(spark, folder, "evidence")).where("kind is not null").select("file_version_id")
+
+
+def p4_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Per language and kind (hand-written counts as one): file versions."""
+    kinds = handwritten.classify(table(spark, folder, "evidence"))
+    return kinds.groupBy("language", F.coalesce("kind", F.lit("handwritten")).alias("kind")).agg(F.count("*").alias("files"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
