@@ -23,14 +23,14 @@ def _normalised(df: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def cross_split_overlap(tasks: DataFrame, train: tuple = ("train",), evaluation: tuple = ("validation", "benchmark"), threshold: float = 0.6, size: int = 3,
-                        key: str = "task_id", text: str = "problem_statement", split: str = "split", shard_bytes: int = 2 << 20) -> DataFrame:
+                        key: str = "task_id", text: str = "problem_statement", split: str = "split", shared: int = 6, shard_bytes: int = 2 << 20) -> DataFrame:
     """(eval_id, train_id, similarity, coverage): pairs of an evaluation and a training record whose sets of `size`
     successive words have a Jaccard similarity of at least `threshold`.
 
     Exact copies are one text. A training text that is similar enough lacks at most n - ceil(threshold * n) of the n
-    shingles of an evaluation text, so that many plus one of them, the rarest in training, are the text's passages;
-    those that occur in training at all go into the automata, which scan every training text once per shard. Texts that
-    share a passage are verified, for which the matched intervals of the evaluation text's words are merged: coverage
+    shingles of an evaluation text, so of that many plus `shared` of them, the rarest in training, it holds `shared` at
+    least. These are the text's passages; those that occur in training at all go into the automata, which scan every
+    training text once per shard. Texts that share so many passages are verified, for which the matched intervals of the evaluation text's words are merged: coverage
     is their share. No pair is lost and no bucket is capped.
 
     Null, empty and shorter texts have no pair; a record in both roles pairs with others, never with itself; repeated
@@ -48,13 +48,13 @@ def cross_split_overlap(tasks: DataFrame, train: tuple = ("train",), evaluation:
     rank = F.row_number().over(Window.partitionBy("doc").orderBy("df", F.xxhash64("gram"), "gram"))
     passages = (
         ours.join(seen, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", rank)
-        .where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-        .where("df > 0").select("doc", F.concat(F.lit(" "), "gram", F.lit(" ")).alias("passage"))
+        .withColumn("common", F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).withColumn("need", F.least("common", F.lit(shared)))
+        .where(F.col("rank") <= F.col("n") - F.col("common") + F.col("need")).where("df > 0").select("doc", "need", F.concat(F.lit(" "), "gram", F.lit(" ")).alias("passage"))
     )
     passages = materialize(passages, "overlap-passages")
     padded = texts.where("role = 't'").select("doc", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("norm"))
     hits = scan(padded, "doc", "norm", passages, "passage", shard_bytes).select(F.col("doc").alias("t"), "passage")
-    pairs = hits.join(passages.withColumnRenamed("doc", "e"), "passage").select("e", "t").distinct()
+    pairs = hits.join(passages.withColumnRenamed("doc", "e"), "passage").groupBy("e", "t", "need").agg(F.count("*").alias("met")).where("met >= need").drop("need", "met")
     s = sizes.select("role", "doc", "n")
     pairs = (
         pairs.join(s.where("role = 'e'").select(F.col("doc").alias("e"), F.col("n").alias("ne")), "e")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, handwritten, neardup, overlap, split, truncation
+from corvane.llm import bpe, handwritten, neardup, overlap, secrets, split, truncation
 from corvane.sources.tables import table
 
 
@@ -56,6 +56,16 @@ def p4_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return kinds.groupBy("language", F.coalesce("kind", F.lit("handwritten")).alias("kind")).agg(F.count("*").alias("files"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = secrets.find_secrets(table(spark, folder, "evidence"))
+    return found.select("file_version_id", "line_no").distinct()
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    evidence = table(spark, folder, "evidence")
+    return secrets.redacted(evidence, secrets.find_secrets(evidence)[0])
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
