@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, handwritten, neardup, overlap, secrets, split, truncation
+from corvane.llm import bpe, handwritten, mixing, neardup, overlap, secrets, split, truncation, validity
 from corvane.sources.tables import table
 
 
@@ -66,10 +66,26 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.redacted(evidence, secrets.find_secrets(evidence)[0])
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return validity.judge(table(spark, folder, "evidence")).where("error_line is not null").select("file_version_id")
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return validity.rates(validity.judge(table(spark, folder, "evidence")))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p8_uses(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncated(table(spark, folder, "documents"))[0].where("truncated").select("doc_id")
 
