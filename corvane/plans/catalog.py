@@ -1,5 +1,7 @@
 """The query catalogue: name -> callable, and name -> SQL."""
 
-FLAGSHIP = None
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from corvane.plans import corpus, coverage, evaluation, ranking, relational  # noqa: F401  (they register their queries)
+from corvane.plans.registry import QUERIES, SQL
+
+FLAGSHIP = QUERIES["bm25_topk"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
