@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,19 +47,22 @@ def scan(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: st
             continue
         shard = spark.sparkContext.broadcast(own)
 
-        def run(frames, shard=shard):
+        def run(batches, shard=shard):
             a, names = _automaton(shard), shard.value
-            for f in frames:
-                keys, found, spans = [], [], []
-                for doc, t in zip(f[key], f["t"]):
+            for b in batches:
+                keys, found, first, last, ends = [], [], [], [], [0]
+                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     hits: dict[int, list] = {}
-                    for last, (i, size) in a.iter(t):
-                        hits.setdefault(i, []).append({"first": last - size + 1, "last": last})
-                    for i, s in hits.items():
+                    for at, (i, size) in a.iter(t):
+                        hits.setdefault(i, []).append((at - size + 1, at))
+                    for i, spans in hits.items():
                         keys.append(doc)
                         found.append(names[i])
-                        spans.append(s)
-                yield pd.DataFrame({key: keys, pattern: found, "spans": spans})
+                        first += [x for x, _ in spans]
+                        last += [x for _, x in spans]
+                        ends.append(len(first))
+                spans = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)], [key, pattern, "spans"])
 
-        parts.append(texts.mapInPandas(run, schema))
+        parts.append(texts.mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
