@@ -148,16 +148,22 @@ def classify(evidence: DataFrame, mangled: float = 0.55, odd: float = 0.35, shor
                 for g, n in own.items():
                     heads[g[:2]] += n
                 tables[k] = ({g: -math.log2((n + 0.1) / (heads[g[:2]] + 6.4)) for g, n in own.items()}, {h: -math.log2(0.1 / (n + 6.4)) for h, n in heads.items()})
-            shared.bits = tables
-        out = []
+            shared.bits, shared.known = tables, {}
+        out, known = [], shared.known
         for k, ws, cs in zip(kind, words, counts):
             bits, rest = shared.bits.get(k, ({}, {}))
+            own = known.setdefault(k, {})
             total = n = 0.0
             for w, c in zip(ws, cs):
-                for g in _trigrams(w):
-                    b = bits.get(g)
-                    total += c * (b if b is not None else rest.get(g[:2], 6.0))
-                    n += c
+                x = own.get(w)
+                if x is None:
+                    grams = list(_trigrams(w))
+                    x = (sum(bits[g] if g in bits else rest.get(g[:2], 6.0) for g in grams), len(grams))
+                    if len(own) >= 500_000:
+                        own.clear()
+                    own[w] = x
+                total += c * x[0]
+                n += c * x[1]
             out.append(total / n if n else 0.0)
         return pd.Series(out)
 
