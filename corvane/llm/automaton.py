@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import ahocorasick
@@ -11,12 +12,11 @@ from pyspark.sql import functions as F
 
 from corvane.session import materialize, ship
 
-_BUILT: dict[int, object] = {}
+_BUILT: dict[str, object] = {}
 
 
-def _automaton(shard):
-    """The worker's automaton of a broadcast shard; one is kept per worker process."""
-    key = shard.id if hasattr(shard, "id") else id(shard)
+def _automaton(key: str, shard):
+    """The worker's automaton of a broadcast shard by its unique key; one is kept per worker process."""
     if key not in _BUILT:
         _BUILT.clear()
         a = ahocorasick.Automaton()
@@ -47,8 +47,8 @@ def scan(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: st
             continue
         shard = spark.sparkContext.broadcast(own)
 
-        def run(batches, shard=shard):
-            a, names = _automaton(shard), shard.value
+        def run(batches, shard=shard, tag=uuid.uuid4().hex):
+            a, names = _automaton(tag, shard), shard.value
             for b in batches:
                 keys, found, first, last, ends = [], [], [], [], [0]
                 for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

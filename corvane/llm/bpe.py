@@ -14,6 +14,7 @@ Decoding streams through an incremental UTF-8 state machine.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 
 import pyarrow as pa
@@ -203,22 +204,25 @@ def decode_stream(chunks):
         yield "\ufffd"
 
 
-_LOADED: dict[int, MergeTransducer] = {}
+_LOADED: dict[str, MergeTransducer] = {}
 
 
-def transducer(ranks_broadcast) -> MergeTransducer:
+def transducer(vocabulary: tuple) -> MergeTransducer:
     """The worker's transducer of a broadcast vocabulary, compiled once per worker process."""
-    key = ranks_broadcast.id if hasattr(ranks_broadcast, "id") else id(ranks_broadcast)
+    key, ranks = vocabulary
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = MergeTransducer(ranks_broadcast.value)
+        _LOADED[key] = MergeTransducer(ranks.value)
     return _LOADED[key]
 
 
-def vocabulary(spark, path: str | None = None):
-    """Broadcasts a vocabulary file (under 1 MB, whatever the corpus)."""
+def vocabulary(spark, path: str | None = None) -> tuple:
+    """(digest, broadcast) of a vocabulary file, which is under 1 MB whatever the corpus."""
     ship(spark)
-    return spark.sparkContext.broadcast(load_ranks(path or os.path.join(TOKENIZER_DIR, DEFAULT_VOCABULARY)))
+    path = path or os.path.join(TOKENIZER_DIR, DEFAULT_VOCABULARY)
+    with open(path, "rb") as f:
+        key = hashlib.sha256(f.read()).hexdigest()
+    return key, spark.sparkContext.broadcast(load_ranks(path))
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", *, counts: bool = False, path: str | None = None) -> DataFrame:

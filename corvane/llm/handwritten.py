@@ -28,7 +28,7 @@ _NOISE = {
     "java": re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"),
     "go": re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"),
 }
-_NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
+_NAME = re.compile(r"(?<![\w$])[A-Za-z_$][A-Za-z0-9_$]*")
 _SHAPE = re.compile(r"[A-Za-z0-9_$]+")
 _IMPORT = re.compile(r"(?:import|from|package|using)\b|(?:const|var|let) .{0,80}\brequire\(|[\"')(};]+$")
 _DATA = re.compile(r"(?:[-+]?\b(?:0x[0-9a-fA-F]+|\d[\d.eE]*)\b[\s,;:\[\](){}]*){6,}|[A-Za-z0-9+/=\\]{32,}")
@@ -175,8 +175,8 @@ def classify(evidence: DataFrame, mangled: float = 0.55, odd: float = 0.35, shor
     vendored = c("vendored_path") | c("vendored") | ((c("files") >= 5) & (c("names") >= 40) & (F.abs(c("snake") - c("style")) >= foreign) & (c("excess") < odd / 2))
     kind = (
         F.when(c("lines") == 0, None)
-        .when(c("minified_path") | ((c("excess") > mangled) & (c("short") > short)), "minified")
         .when(c("figures") > figures, F.when(c("generated") | c("generated_path") | (c("templated") > templated), "generated").otherwise("data"))
+        .when(c("minified_path") | ((c("excess") > mangled) & (c("short") > short)), "minified")
         .when(c("generated") | c("generated_path") | (c("templated") > templated) | ((c("excess") > odd) & (c("shapes") > shapes) & (c("lines") >= 15) & (c("names") >= 30)), "generated")
         .when(F.coalesce(vendored, F.lit(False)), "vendored")
     )

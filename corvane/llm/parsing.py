@@ -141,10 +141,10 @@ def _expression(kinds: list[str]) -> bool:
 
 
 class Lexed(Exception):
-    """A token error at a position."""
+    """A token error at a position, with the terminals before it."""
 
-    def __init__(self, at: int):
-        self.at = at
+    def __init__(self, at: int, tokens: list[str] = (), where: list[int] = ()):
+        self.at, self.tokens, self.where = at, tokens, where
 
 
 def python_tokens(text: str) -> tuple[list[str], list[int]]:
@@ -181,10 +181,10 @@ def python_tokens(text: str) -> tuple[list[str], list[int]]:
                 width = narrow = len(lead)
             if width == indents[-1]:
                 if narrow != alt[-1]:
-                    raise Lexed(i)
+                    raise Lexed(i, out, where)
             elif width > indents[-1]:
                 if narrow <= alt[-1]:
-                    raise Lexed(i)
+                    raise Lexed(i, out, where)
                 indents.append(width)
                 alt.append(narrow)
                 out.append("INDENT")
@@ -196,19 +196,19 @@ def python_tokens(text: str) -> tuple[list[str], list[int]]:
                     out.append("DEDENT")
                     where.append(i)
                 if width != indents[-1] or narrow != alt[-1]:
-                    raise Lexed(i)
+                    raise Lexed(i, out, where)
         if k == "ERROR":
-            raise Lexed(i)
+            raise Lexed(i, out, where)
         if k in "([{":
             depth += 1
         elif k in ")]}":
             depth -= 1
             if depth < 0:
-                raise Lexed(i)
+                raise Lexed(i, out, where)
         out.append(k)
         where.append(i)
     if depth:
-        raise Lexed(last)
+        raise Lexed(last, out, where)
     if not begin:
         out.append("NEWLINE")
         where.append(last)
@@ -476,7 +476,8 @@ def first_error(language: str, text: str, exact: bool = True) -> int:
             return 0
         index = where[at] if at < len(where) else -1
     except Lexed as e:
-        index = e.at
+        at = a.parse(e.tokens, "file") if e.tokens else -1
+        index = e.where[at] if 0 <= at < len(e.where) else e.at
     if language == "python" and exact and sys.version_info[:2] == (3, 13):
         try:
             ast.parse(text_in)
