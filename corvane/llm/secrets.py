@@ -23,7 +23,7 @@ SPEAKS_OF = frozenset(
 CONFIG = frozenset("env ini toml yaml yml properties cfg conf json".split())
 
 HINT = re.compile(
-    r"passw|passphrase|pwd|secret|token|api[_.-]?key|access[_.-]?key|private[_. -]?key|signing[_.-]?key|auth|cred|[_.-]p(?:w|ass)\b|\bpass\b|\bpw\b|login"
+    r"passw|passphrase|pwd|secret|token|api[_.-]?key|access[_.-]?key|private[_. -]?key|signing[_.-]?key|auth|cred|[_.-]p(?:w|ass)\b|(?-i:P(?:ass|w)\b)|\bpass\b|\bpw\b|login"
     r"|://[^\s/:@\"'<>]{1,64}:[^\s/@\"'<>]{1,128}@|\beyJ[\w-]{10}|\bA[KS]IA[0-9A-Z]{16}|\b[a-z]{2,8}[_.-][A-Za-z0-9_.-]{24}", re.I)
 LITERAL = re.compile(r"\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`")
 JOINED = re.compile(r"\s*(?:\+|\.)?\s*$")
