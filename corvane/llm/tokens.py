@@ -71,7 +71,7 @@ def hash_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(bounds, start, side="right") - 1, mix(value)
 
 
-def batches(texts: list[bytes], size: int = 1 << 21):
+def batches(texts: list[bytes], size: int = 1 << 20):
     """Cuts a list of texts into (first, last) ranges of about `size` bytes; a longer text is a range of its own."""
     first, held = 0, 0
     for i, t in enumerate(texts):
