@@ -167,7 +167,7 @@ def _counts(docs: DataFrame, frequent) -> DataFrame:
     return docs.select("text").mapInPandas(run, "key string, n long, ends long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
-def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", common: int = 1500, known: int = 6, least: float = 0.03) -> tuple[DataFrame, DataFrame]:
+def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", common: int = 6000, known: int = 6, least: float = 0.03) -> tuple[DataFrame, DataFrame]:
     """(findings, limits). findings: key, source, truncated, reason, chars for every row with a key.
 
     A text is truncated if it doesn't end like a whole one, nor in a short closing paragraph that `known` texts share, and (a) its length before an end mark, in code points or in
