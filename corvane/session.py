@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     key = f"corvane-{spark.sparkContext.applicationId}"
     return "file://" + os.path.join(tempfile.gettempdir(), key)
