@@ -36,12 +36,15 @@ def minimal_groups(witness: DataFrame, obligation: str, group: str, evidence: st
     """(obligation, group, minimal, duplicate): a group that strictly contains another of its obligation isn't minimal;
     of equal groups all but the first are duplicates."""
     w = witness.select(obligation, group, evidence).distinct()
-    size = w.groupBy(obligation, group).agg(F.count("*").alias("n"))
-    a = w.toDF(obligation, "g", evidence)
-    b = w.toDF(obligation, "h", evidence)
-    shared = a.join(b, [obligation, evidence]).where("g <> h").groupBy(obligation, "g", "h").agg(F.count("*").alias("shared"))
-    sizes = shared.join(size.toDF(obligation, "g", "gn"), [obligation, "g"]).join(size.toDF(obligation, "h", "hn"), [obligation, "h"])
-    flags = sizes.groupBy(obligation, "g").agg(
-        F.max(F.expr("shared = hn and hn < gn")).alias("contains"), F.max(F.expr("shared = hn and hn = gn and h < g")).alias("same"))
-    return size.toDF(obligation, group, "n").join(flags.withColumnRenamed("g", group), [obligation, group], "left").select(
-        obligation, group, (~F.coalesce("contains", F.lit(False))).alias("minimal"), F.coalesce("same", F.lit(False)).alias("duplicate"))
+    sets = w.groupBy(obligation, group).agg(F.sort_array(F.collect_set(evidence)).alias("s"), F.count("*").alias("n"))
+    # A null is evidence that no other group has: such a group can contain others, but none contains or equals it.
+    kinds = sets.where(F.col(obligation).isNotNull() & F.col(group).isNotNull()).groupBy(obligation, "s", "n").agg(F.min(group).alias("first"))
+    held = kinds.select(obligation, "s", "n", F.explode("s").alias("e"))
+    often = held.groupBy(obligation, "e").agg(F.count("*").alias("c"))
+    # Equal groups are one set, and a set meets only those that hold its rarest evidence.
+    rarest = held.where("size(s) = n").join(often, [obligation, "e"]).groupBy(obligation, "s", "n").agg(F.min_by("e", F.struct("c", "e")).alias("e"))
+    within = held.join(rarest.select(obligation, "e", F.col("s").alias("t"), F.col("n").alias("m")), [obligation, "e"]).where("m < n and size(array_except(t, s)) = 0")
+    within = within.select(obligation, "s", "n").distinct().withColumn("contains", F.lit(True))
+    first = kinds.where("size(s) = n").select(obligation, "s", "n", "first")
+    return sets.join(within, [obligation, "s", "n"], "left").join(first, [obligation, "s", "n"], "left").select(
+        obligation, group, (~(F.coalesce("contains", F.lit(False)) & F.col(group).isNotNull())).alias("minimal"), F.coalesce(F.col(group) > F.col("first"), F.lit(False)).alias("duplicate"))

@@ -61,6 +61,13 @@ def minimal_groups(spark, d):
     return C.minimal_groups(w, "obligation", "grp", "evidence")
 
 
+@query()
+def minimal_groups_whole(spark, d):
+    """minimal_groups over every line of every supplier. No SQL: its form meets all pairs of groups."""
+    w = table(spark, d, "lineitem").selectExpr("l_suppkey % 50 as obligation", "l_orderkey as grp", "l_partkey % 7 as evidence").distinct()
+    return C.minimal_groups(w, "obligation", "grp", "evidence")
+
+
 @query("""
 WITH o AS (SELECT l_orderkey AS task, l_partkey AS evidence, min(l_shipdate) AS seen FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY seen, evidence) AS step FROM o)
 SELECT task, step, evidence, count(CASE WHEN p_size <= 25 THEN 1 END) OVER (PARTITION BY task ORDER BY step ROWS UNBOUNDED PRECEDING) AS held,

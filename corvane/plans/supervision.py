@@ -38,7 +38,17 @@ g AS (SELECT slot, grp FROM v SEMI JOIN b USING (slot, status) WHERE grp IS NOT
 SELECT slot, status, coalesce(grp, -1) AS grp FROM b LEFT JOIN g USING (slot)
 """)
 def group_consensus(spark, d):
-    v = table(spark, d, "events").where("value > 80").selectExpr("user_id % 30 as slot", "event_type as status", "(user_id div 30) % 3 as voter", "case when event_id % 2 = 0 then event_id % 4 end as grp").distinct()
+    return _consensus(table(spark, d, "events").where("value > 80"))
+
+
+@query()
+def group_consensus_whole(spark, d):
+    """group_consensus over all events."""
+    return _consensus(table(spark, d, "events"))
+
+
+def _consensus(events):
+    v = events.selectExpr("user_id % 30 as slot", "event_type as status", "(user_id div 30) % 3 as voter", "case when event_id % 2 = 0 then event_id % 4 end as grp").distinct()
     return J.group_consensus(v, ["slot"], "status", "voter", "grp").withColumn("grp", F.coalesce("grp", F.lit(-1)))
 
 

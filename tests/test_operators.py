@@ -90,6 +90,34 @@ def test_minimal_groups(spark):
     assert got == [("a", True, False), ("b", False, False), ("c", True, False), ("d", True, True)]
 
 
+def test_minimal_groups_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    w = [(r.choice("op"), r.randrange(40), r.randrange(9)) for _ in range(300)] + [("o", 50, None), ("o", 50, 1), ("o", 51, 1), ("o", 52, None), ("o", None, 1), (None, 1, 1), (None, 2, 1)]
+    sets = {}
+    for o, g, e in w:
+        sets.setdefault((o, g), set()).add(e)
+    inside = lambda o, h, g: None not in (o, h, g) and h != g and None not in sets[o, h] and sets[o, h] <= sets[o, g]
+    want = {}
+    for o, g in sets:
+        below = [h for p, h in sets if p == o and inside(o, h, g)]
+        want[o, g] = (not any(len(sets[o, h]) < len(sets[o, g]) for h in below), any(sets[o, h] == sets[o, g] and h < g for h in below))
+    x = coverage.minimal_groups(spark.createDataFrame(w, "o string, g int, e int"), "o", "g", "e")
+    got = x.collect()
+    assert {(r.o, r.g): (r.minimal, r.duplicate) for r in got} == want and len(got) == len(want)
+
+
+def test_whole_queries(spark, tmp_path):
+    """No line, supplier or event is left out."""
+    from corvane.plans import catalog
+
+    spark.createDataFrame([(1, 1, 11, 1), (1, 5, 11, 2), (2, 5, 61, 2)], "l_orderkey int, l_linenumber int, l_suppkey int, l_partkey int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(catalog.QUERIES["minimal_groups_whole"](spark, str(tmp_path)), "obligation", "grp", "minimal", "duplicate") == [(11, 1, False, False), (11, 2, True, False)]
+    spark.createDataFrame([(1, 0, "a", 5.0), (2, 30, "a", 6.0), (4, 1, "a", 99.0)], "event_id int, user_id int, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(catalog.QUERIES["group_consensus_whole"](spark, str(tmp_path)), "slot", "status", "grp") == [(0, "a", -1)]
+
+
 def test_folds(spark):
     w = spark.createDataFrame([(1, "r1", "g1", "a", 6), (1, "r1", "g1", "b", 5), (1, "r1", "g2", "c", 4)], "t int, o string, g string, e string, c int")
     assert folds.certificates(w, "t", "o", "g", "e", "c").head().certificate == ["c"]
