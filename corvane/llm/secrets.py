@@ -22,9 +22,6 @@ SPEAKS_OF = frozenset(
     " hint param parameter public id ids timeout error message format column ref version scope provider mode enabled required kind limit budget budgets endpoint host class".split())
 CONFIG = frozenset("env ini toml yaml yml properties cfg conf json".split())
 
-HINT = re.compile(
-    r"passw|passphrase|pwd|secret|token|api[_.-]?key|access[_.-]?key|private[_. -]?key|signing[_.-]?key|auth|cred|[_.-]p(?:w|ass)\b|(?-i:P(?:ass|w)\b)|\bpass\b|\bpw\b|login"
-    r"|://[^\s/:@\"'<>]{1,64}:[^\s/@\"'<>]{1,128}@|\beyJ[\w-]{10}|\bA[KS]IA[0-9A-Z]{16}|\b[a-z]{2,8}[_.-][A-Za-z0-9_.-]{24}", re.I)
 LITERAL = re.compile(r"\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`")
 JOINED = re.compile(r"\s*(?:\+|\.)?\s*$")
 NAME_BEFORE = re.compile(r"([A-Za-z_$][\w.$-]*)[\"'`\])]*\s*(?::\s*(?:final\s+)?\w*\s*)?(?::=|=>|=|:|\(|,)\s*(?:[rbuf]\b)?$")
@@ -39,6 +36,18 @@ STRUCTURED = re.compile(
 ISSUED = re.compile(r"eyJ[\w-]{8,}\.eyJ|A[KS]IA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{30,}$|xox[abprs]-|[sr]k_(?:live|test)_")
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+# Every line that line_candidates accepts, or that opens a private key, has a hit: in each form, what it can't do without.
+HINT = re.compile(
+    "|".join(
+        [
+            *sorted(x for x in SECRET_PARTS if not any(y in x for y in SECRET_PARTS - {x})),
+            rf"(?:{'|'.join(sorted(KEY_OWNERS))})(?a:[^A-Za-z\n]*)key",
+            r"basic[^\S\n]+[A-Za-z0-9+/_=.~-]{8}",
+            r"://[^\s/:@\"'<>]{0,64}:[^\s/@\"'<>]{3,128}@",
+            r"[\"'`](?:[^\S\n]*\+[^\S\n]*|[^\S\n]+)[\"'`]",
+            rf"(?-i:{STRUCTURED.pattern})",
+        ]
+    ), re.I)
 PLACEHOLDER = re.compile(
     r"^(?:change.?me|replace.?(?:me|this|with.*)?|todo|tbd|none|null|true|false|undefined|redacted|removed|hidden|secret|password|passw0rd|token|example.*|sample.*|dummy.*|test.?(?:token|password|secret|key)?|fake.*|your.*|my.?(?:password|secret|token).*|placeholder.*|insert.*here|enter.*here|not.?(?:set|a).*)$"
     r"|x{4,}|\*{3,}|\.{3,}|example|placeholder|change-?_?me|your[-_ ]|[-_ ]here\b|redacted|dummy|^(.)\1*$|^(?:0?123456789?0?|abc(?:def)?\d*)$", re.I)
@@ -159,10 +168,8 @@ def candidates(path: str, text: str) -> list[tuple]:
     """(line number, key, value, first, last, kind) of a file's candidates; first and last are offsets in the text.
     A private key is one candidate at its opening line, if a body follows it."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-    out, done = [], -1
-    for m in HINT.finditer(text):
-        if m.start() < done:
-            continue
+    out, done = [], 0
+    while m := HINT.search(text, done):
         a = text.rfind("\n", 0, m.start()) + 1
         b = text.find("\n", m.start())
         b = len(text) if b < 0 else b

@@ -164,6 +164,23 @@ def test_secret_lines():
     assert secrets.candidates("a.txt", block.replace("PRIVATE", "PUBLIC")) == []
 
 
+def test_every_accepted_line_is_looked_at():
+    value, hard = "q8ZrW2mTx7Lp", "q8ZrW2mTx7LpV4nKd9BsY3"
+    names = [*secrets.SECRET_PARTS, *(f"{a}{gap}{k}" for a in secrets.KEY_OWNERS for gap in ("", "_", ".", "-", "2", "_2_") for k in ("key", "keys"))]
+    forms = [f(n) for n in names for f in (str.lower, str.upper, str.title, lambda n: "x" + n.title() + "X", lambda n: f"my_{n}_2")]
+    cases = [(t, e) for n in forms for t, e in ((f'{n} = "{value}"', "py"), (f"{n}: {value}", "yaml"), (f'{{"{n}": "{value}"}}', "json"), (f"# {n}={value}", "go"))]
+    cases += [(t, "py") for t in (f"redis://:{value}@host", f"amqp://u:{value}@host", f"Bearer {value}", f"x = 'Token {value}'", "Basic dXNlcjpxOFpyVzJtVHg=", f"ab_{hard}", f"xoxb-{hard}", f"sk_live_{hard}", f"AKIA{'Q8ZRW2MTX7LPV4NK'}", "eyJhbGciOi.eyJhbGciOi.q8ZrW2mTx7LpV4nK", f"k('ab_{hard[:9]}' + '{hard[9:]}')", f'm["api / key", "{value}"]')]
+    seen = 0
+    for line, ext in cases:
+        accepted = [(k, v) for k, v, _, _ in secrets.line_candidates(line, ext)]
+        for text in (line, f"app\n{line}\nx", f"basic\n{line}"):
+            assert [c[1:3] for c in secrets.candidates(f"a.{ext}", text)][: len(accepted)] == accepted, (line, ext)
+        seen += bool(accepted)
+    assert seen > 600
+    for line, ext in ((f'ENCRYPTION_KEY = "{value}"', "py"), (f"psk: {value}", "yaml"), (f"storage_account_key={value}", "env"), (f"redis://:{value}@host", "py")):
+        assert [c[2] for c in secrets.candidates(f"a.{ext}", line)] == [value]
+
+
 def test_redaction_keeps_the_rest():
     text = 'a = {"db_password": "Fl\\"u@68", "n": 1}\nkey = "ghp_abc" + "d1"\n'
     a, b = text.index("Fl"), text.index('", "n"')
