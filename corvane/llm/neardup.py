@@ -111,11 +111,11 @@ def near_duplicates(units: DataFrame, threshold: float = 0.7, least_tokens: int
     sequence. links: class_a < class_b, similarity, bag_similarity of the classes of one unit_type whose shingle sets
     have a Jaccard similarity of at least `threshold`.
 
-    Each unit is read once: its signature is banded in that pass. Classes, not copies, meet in bands, so a text that
-    makes up a third of the rows is one row there. Two classes meet if they share two bands at least and keep the size
-    ratio that the threshold allows. Buckets have no cap; AQE splits hot ones. Met
-    pairs are verified on whole texts. With p = threshold^rows a pair at the threshold is missed with probability
-    (1-p)^bands + bands p (1-p)^(bands-1), 0.0017, and one at 0.8 with 1e-6.
+    Each unit is read once: two signatures are banded in that pass, of the set (all weights 1) and of the bag, whose
+    values are null where both agree. Classes, not copies, meet in bands, so a text that makes up a third of the rows is
+    one row there. Two classes meet if they share two values at least and keep the size ratio that the threshold allows.
+    Buckets have no cap; AQE splits hot ones. Met pairs are verified on whole texts. With p = s^rows a pair of set similarity s, whatever its bag similarity, is missed
+    with a probability of at most (1-p)^bands + bands p (1-p)^(bands-1): 0.0017 at the threshold, 1e-6 at 0.8.
 
     Null content counts as empty; units with null evidence_id are left out; repeated rows count once; other columns are
     ignored."""
@@ -126,6 +126,13 @@ def near_duplicates(units: DataFrame, threshold: float = 0.7, least_tokens: int
     src = units.where("evidence_id is not null").select(*cols, F.coalesce("content", F.lit("")).alias("content"))
     schema = "evidence_id string, file_version_id string, unit_type string, seq bigint, n int, bands array<int>"
 
+    def banded(doc, g, w, k):
+        sig = signatures(doc, g, w, k, m).view(_U).reshape(k, bands, rows)
+        band = np.zeros((k, bands), _U) + np.arange(bands, dtype=_U)
+        for r in range(rows):
+            band = mix(band * _U(0xD6E8FEB86659FD93) + sig[:, :, r])
+        return (band >> _U(32)).astype(np.uint32).view(np.int32)
+
     def sketch(parts):
         for part in parts:
             texts = [x.encode() for x in part.column("content").to_pylist()]
@@ -137,15 +144,19 @@ def near_duplicates(units: DataFrame, threshold: float = 0.7, least_tokens: int
                 place = np.cumsum(enough) - 1
                 doc, g, w = place[doc[use]], g[use], w[use]
                 k = int(enough.sum())
-                sig = signatures(doc, g, w, k, m).view(_U).reshape(k, bands, rows)
-                band = np.zeros((k, bands), _U) + np.arange(bands, dtype=_U)
-                for r in range(rows):
-                    band = mix(band * _U(0xD6E8FEB86659FD93) + sig[:, :, r])
-                band = (band >> _U(32)).astype(np.uint32).view(np.int32)
+                band = banded(doc, g, np.ones_like(w), k)
+                again = np.bincount(doc, w > 1, k) > 0  # elsewhere bag and set are one
+                use = again[doc]
+                bag = band.copy()
+                bag[again] = banded((np.cumsum(again) - 1)[doc[use]], g[use], w[use], int(again.sum()))
+                same = np.concatenate([np.zeros_like(band, bool), bag == band], 1)
+                own = np.ones_like(same)
+                own[:, bands:] = (bag != band).any(1, keepdims=True)
+                ends = np.concatenate([[0], np.cumsum(own.sum(1))])
                 p = part.slice(i, j - i).filter(pa.array(enough))
                 yield pa.RecordBatch.from_arrays(
                     [p.column(0), p.column(1), p.column(2), pa.array(whole[enough].view(np.int64)), pa.array(number[enough].astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, k * bands + 1, bands), pa.int32()), pa.array(band.reshape(-1)))],
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([band, bag], 1)[own], mask=same[own]))],
                     names=["evidence_id", "file_version_id", "unit_type", "seq", "n", "bands"],
                 )
 
@@ -154,7 +165,7 @@ def near_duplicates(units: DataFrame, threshold: float = 0.7, least_tokens: int
     members = sketched.select(*cols, "class_id").distinct()
     classes = sketched.groupBy("class_id").agg(F.min_by(F.struct("evidence_id", "unit_type", "n", "bands"), "evidence_id").alias("c")).select("class_id", "c.*")
     classes = materialize(classes, "classes")
-    met = classes.select("class_id", "n", "unit_type", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("unit_type", "band", "value").alias("bucket"), "class_id", "n")
+    met = classes.select("class_id", "n", "unit_type", F.posexplode("bands").alias("band", "value")).where("value is not null").select(F.xxhash64("unit_type", F.col("band") % bands, "value").alias("bucket"), "class_id", "n")
     a, b = met.toDF("bucket", "class_a", "na"), met.toDF("bucket", "class_b", "nb")
     pairs = (
         a.join(b, "bucket").where("class_a < class_b and least(na, nb) >= %r * greatest(na, nb)" % (threshold - 1e-9))

@@ -57,6 +57,18 @@ def test_near_duplicates_brute_force(spark):
     assert got <= want and len(got) >= len(want) - 1 and len(want) > 20
 
 
+def test_near_duplicates_that_repeat_differently(spark):
+    """Copies whose lines recur: sets at 0.9 and over, bags under 0.5."""
+    rows = []
+    for k in range(40):
+        lines = [f"row{k} {'abcdefghij'[j]}{k} = {j} ;" for j in range(10)]
+        rows += [(f"e{k}a", f"f{k}a", "a.py", "method", "\n".join(lines)), (f"e{k}b", f"f{k}b", "a.py", "method", "\n".join(lines + lines[5:] * 8))]
+    sets, multi = neardup.jaccard(*([x[4].encode() for x in rows[i::2]] for i in (0, 1)))
+    assert sets.min() >= 0.9 and multi.max() < 0.5
+    got = {tuple(x) for x in neardup.duplicate_pairs(*neardup.near_duplicates(evidence(spark, rows))).collect()}
+    assert got == {(f"e{k}a", f"e{k}b") for k in range(40)}
+
+
 def test_chain_is_one_group(spark):
     links = spark.createDataFrame([(i, i + 1, 0.9, 0.9) for i in range(1, 30)] + [(50, 51, 0.9, 0.9)], "class_a long, class_b long, similarity double, bag_similarity double")
     members = spark.createDataFrame([(f"e{i}", f"f{i}", "t", i) for i in [*range(1, 31), 50, 51, 60]], "evidence_id string, file_version_id string, unit_type string, class_id long")
