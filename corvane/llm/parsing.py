@@ -223,18 +223,16 @@ def python_tokens(text: str) -> tuple[list[str], list[int]]:
 JS_KEYWORDS = words("async of get set static let await yield break case catch class const continue debugger default delete do else extends finally for function if import in instanceof new null return super switch this throw true false try typeof var void while with")
 JS_OTHER = words("enum export")
 _JS_RE = r"/(?![*/])(?:[^\\/\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[A-Za-z]*"
-_JS_SUB = r"\$\{(?:[^`{}]|\{(?:[^`{}]|\{(?:[^`{}]|\{[^`{}]*\})*\})*\}|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{[^`{}]*\})*`)*\}"
+_JS_CHUNK = re.compile(r"(?:[^`\\$]++|\\.|\$(?!\{))*+", re.S)
 _JS_OPS = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@]"
 JS_TOKEN = re.compile(
     r"(?:[ \t\f\v\xa0\ufeff]|/\*[^\r\n*]*(?:\*(?!/)[^\r\n*]*)*\*/)*("
     r"[\r\n\u2028\u2029]|//[^\r\n]*|/\*[\s\S]*?\*/"
-    r"|`(?:[^`\\$]|\\.|\$(?!\{)|" + _JS_SUB + r")*`"
     r"|\"(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*'"
     r"|(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:[0-9](?:_?[0-9])*\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][-+]?[0-9](?:_?[0-9])*)?n?)(?![\w$])"
     r"|(?:===|!==|==|!=|=>|&&|\|\||\?\?|<<|>>>?|[-+*%&|^]?=|(?<!\+)\+(?!\+)|(?<!-)-(?!-)|[(,;:!?{\[*%<>~^&|]|\b(?:return|typeof|case|in|of|delete|void|throw|else|do)\b)\s*" + _JS_RE +
     r"|#?(?:[A-Za-z_$\x80-\U0010ffff]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\x80-\U0010ffff]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
     r"|" + _JS_OPS + r"|[^ \t\f\v\xa0\ufeff]|\Z)", re.S)
-_JS_SUB_RE = re.compile(_JS_SUB, re.S)
 _JS_LEAD = re.compile(r"(" + _JS_OPS + r"|[a-z]+)\s*(?=/)")
 _JS_OP = {**dict.fromkeys("+= -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??=".split(), "ASG"), **dict.fromkeys("== != === !== < > <= >= && || ?? << >> >>> ** / % & | ^".split(), "BOP"), "~": "!", "++": "INC", "--": "INC"}
 _JS_SIGNS = words("{ } ( ) [ ] ; , + - * ! ? : = . => ?. ...")
@@ -254,8 +252,6 @@ def _js_kind(t: str):
         return "NL"
     if t[:2] == "//" or t[:2] == "/*":
         return "NL" if t[:2] == "/*" and ("\n" in t or "\r" in t) else "#"
-    if c == "`":
-        return "TEMPLATE" if len(t) > 1 and template(t) else "ERROR"
     if c in "\"'":
         return "STRING" if len(t) > 1 else "ERROR"
     if c.isdigit() or c == "." and len(t) > 1:
@@ -273,35 +269,46 @@ def _js_kind(t: str):
 JS_KINDS = Kinds(_js_kind)
 
 
-def template(token: str) -> bool:
-    """Whether every substitution of a template literal holds an expression."""
-    i, n = 1, len(token) - 1
-    while i < n:
-        if token[i] == "\\":
-            i += 2
-        elif token[i : i + 2] == "${":
-            m = _JS_SUB_RE.match(token, i)
-            if not m:
-                return False
-            j = m.end()
-            kinds, _, lines = javascript_tokens(token[i + 2 : j - 1])
-            if "ERROR" in kinds or automaton("javascript").parse(kinds, "inner") >= 0:
-                return False
-            i = j
-        else:
-            i += 1
-    return True
-
-
 def javascript_tokens(text: str) -> tuple[list, list[int], set[int]]:
-    """(terminals, source token of each, terminals that begin a line)."""
+    """(terminals, offset of each, terminals that begin a line). A template literal is one terminal, ERROR if it doesn't
+    end or a substitution holds no expression; `held` has what surrounds the open ones, so they nest to any depth."""
     out, where, lines, kinds, new = [], [], set(), JS_KINDS, False
-    for i, t in enumerate(JS_TOKEN.findall(text)):
+    held, depth, at = [], 0, 0
+    while True:
+        m = JS_TOKEN.match(text, at)
+        t, i, at = m.group(1), m.start(1), m.end()
         k = kinds[t]
+        if t == "`" or t == "}" and held and depth == 1:
+            if t == "`":
+                held.append([out, where, lines, new, depth, i, True])
+            elif "ERROR" in out or automaton("javascript").parse(out, "inner", _ends(out, lines)) >= 0:
+                held[-1][6] = False
+            at = _JS_CHUNK.match(text, at).end()
+            if text.startswith("${", at):
+                out, where, lines, new, depth = [], [], set(), False, 0
+                at += 1
+                continue
+            closed = text.startswith("`", at)
+            at += 1
+            out, where, lines, new, depth, i, good = held.pop() if closed else held[0]
+            if not closed:
+                return out + ["ERROR"], where + [i], lines
+            k = "TEMPLATE" if good else "ERROR"
+        elif t == "" and held:
+            out, where, lines, _, _, i, _ = held[0]
+            return out + ["ERROR"], where + [i], lines
+        elif t == "":
+            return out, where, lines
+        elif held and t[0] in "{}":  # a brace, or one before a regular expression
+            depth += 1 if t[0] == "{" else -1
+            if depth == 1 and not out and t[0] == "{":  # the one that opens the substitution
+                if type(k) is not tuple:
+                    continue
+                k = k[1]
         if k == "NL":
             new = True
             continue
-        if k == "#" or k == "":
+        if k == "#":
             continue
         if new:
             lines.add(len(out))
@@ -316,7 +323,11 @@ def javascript_tokens(text: str) -> tuple[list, list[int], set[int]]:
             k = k[1]
         out.append(k)
         where.append(i)
-    return out, where, lines
+
+
+def _ends(tokens: list, lines: set[int]):
+    """Whether a semicolon may be supplied before a terminal."""
+    return lambda i: i >= len(tokens) or i in lines or tokens[i] == "}"
 
 
 # Java and Go
@@ -464,8 +475,7 @@ def first_error(language: str, text: str, exact: bool = True) -> int:
             at = a.parse(tokens, "file") if tokens else -1
         elif language == "javascript":
             tokens, where, lines = javascript_tokens(text)
-            n = len(tokens)
-            at = a.parse(tokens, "file", lambda i: i >= n or i in lines or tokens[i] == "}" or tokens[i - 1] == ")") if tokens else -1
+            at = a.parse(tokens, "file", _ends(tokens, lines)) if tokens else -1
         elif language == "go":
             tokens, where = go_tokens(text)
             at = a.parse(tokens, "file")
@@ -486,6 +496,8 @@ def first_error(language: str, text: str, exact: bool = True) -> int:
             pass
     if index < 0:
         return text.count("\n") + 1
+    if language == "javascript":
+        return text.count("\n", 0, index) + 1
     for k, m in enumerate(pattern.finditer(text)):
         if k == index:
             return text.count("\n", 0, m.start(1)) + 1

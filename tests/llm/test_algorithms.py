@@ -127,6 +127,16 @@ def test_verdicts():
                 assert (parsing.first_error(language, t, exact=False) == 0) == good, (language, t)
 
 
+def test_javascript_ends_and_templates():
+    ok = lambda t: parsing.first_error("javascript", t) == 0
+    for t in ("foo(a) bar(b);", "const x = f(a) y;", "if (a) b() c()", "`${f(a) g(b)}`", "`${a", "x = `${a}", "`${}`", "`${a b}`", "`${xs.map(i => { return `<li>${i j}</li>` })}`", "f(`a` `${`", "`${a}}` }"):
+        assert not ok(t), t
+    for t in ("do x(); while (y()) z()", "do x(); while (y())\nz()", "while (f(a)) g(b)", "foo(a)\nbar(b)", "`${xs.map(i => { return `<li>${i}</li>`; })}`", "`${xs.map(i => { return `<li>${i}</li>` })}`", "`a${`b${`c${{x: {y: {z: {w: {}}}}}}`}`}`",
+              "`${/}/.test(x) ? '}' : \"`\"}`", "`$ {a} $${b} \\` \\${`", "`a\n${ // }\n b}`\nc()", "tag`x${(function () { if (a) { return /`/ } })()}y`", "{ let a = `}` }", "{ `${{}}` }", "`" + "${`" * 600 + "`}" * 600 + "`"):
+        assert ok(t), t
+    assert parsing.first_error("javascript", "var a = `x\n${\nb}`;\n\nf(`${a b}`);\n") == 5 and parsing.first_error("javascript", "a;\nb = `c\n${d}\n}\n") == 2
+
+
 def test_error_lines():
     assert parsing.first_error("python", "a = 1\nb = (\nc = 2\n", exact=False) == 3
     assert parsing.first_error("javascript", "var a;\n\n}\n") == 3
