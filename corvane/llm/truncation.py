@@ -68,6 +68,11 @@ def unclosed(text: str) -> bool:
     return tail.count("(") > tail.count(")")
 
 
+def masked(paragraph: str) -> str:
+    """A paragraph with its names and numbers masked."""
+    return re.sub(r"@[\w-]+|(?<=-- \n)[\w-]+", "@", re.sub(r"\d+", "#", paragraph.strip()))
+
+
 def inspect(text: str) -> tuple:
     """What FINDINGS lists: an end mark, lengths before it, whether the text ends like a whole one, what stands open,
     the last word or part of an identifier if letters end the text, the classes of the last tokens, and a short last
@@ -79,7 +84,7 @@ def inspect(text: str) -> tuple:
     words = classes(body[-600:])
     sign = re.search(r"https?://\S+$|<\|\w+\|>$", body)
     closing = body[-60:].rsplit("\n\n", 1)
-    closing = re.sub(r"@[\w-]+|(?<=-- \n)[\w-]+", "@", re.sub(r"\d+", "#", closing[1].strip())) if len(closing) > 1 else ""
+    closing = masked(closing[1]) if len(closing) > 1 else ""
     ended = bool(sign) or not (last.isalnum() or last in "_,;:(-`/\"'[{=+&" or last in "，；：、（") or bool(re.search(r"[.!?。！？][\"'`)\]”»]*$|```$", body))
     parts = PART.findall(body[-80:]) if last.isalpha() and not "\u3040" <= last <= "\u9fff" else []
     return bool(m), len(core), len(core.encode("utf-8", "surrogatepass")), ended, unclosed(body), parts[-1].lower() if parts else "", words[-ORDERS:], closing
@@ -170,12 +175,13 @@ def _counts(docs: DataFrame, frequent) -> DataFrame:
 def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", common: int = 6000, known: int = 6, least: float = 0.03) -> tuple[DataFrame, DataFrame]:
     """(findings, limits). findings: key, source, truncated, reason, chars for every row with a key.
 
-    A text is truncated if it doesn't end like a whole one, nor in a short closing paragraph that `known` texts share, and (a) its length before an end mark, in code points or in
-    UTF-8 bytes, is a significant limit of its source; or at any length (b) a code fence, JSON value, bracket or code
-    span stands open, (c) its last word, or part of an identifier, is 50 times rarer within texts than the
+    A text is truncated if it doesn't end like a whole one, and (a) its length before an end mark, in code points or in
+    UTF-8 bytes, is a significant limit of its source, where copies count once; or at any length, unless it ends in a
+    closing, (b) a code fence, JSON value, bracket or code span stands open, (c) its last word, or part of an identifier, is 50 times rarer within texts than the
     words that it begins, or (d) the longest of its last one to
-    six tokens that occur `known` times in the corpus end a sentence in under `least` of those cases. Copies of a
-    truncated text, whatever the source and white space, are truncated. Words rarer than 1 in `common` tokens count as
+    six tokens that occur `known` times in the corpus end a sentence in under `least` of those cases. A closing is
+    a short last paragraph that `known` texts and 1 in `common` share, copies counted once, and that no more texts have as
+    the beginning of a paragraph that goes on, as they would a fragment. Copies of a truncated text, whatever the source and white space, are truncated. Words rarer than 1 in `common` tokens count as
     one class, so the words kept are at most `common`.
 
     Null, empty and blank texts are not truncated; a null source is a source of its own; rows with a null key are left
@@ -195,7 +201,8 @@ def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     seen = full.withColumn("copy", copy).mapInPandas(look, f"id {base.schema['id'].dataType.simpleString()}, source string, {FINDINGS}, copy string")
     seen = materialize(seen, "endings")
     measure = F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("length"))))
-    lengths = seen.select("source", "mark", (~F.col("ended")).alias("unended"), measure.alias("m")).select("source", "mark", "unended", "m.*")
+    once = seen.select("source", "copy", "mark", "ended", "chars", "bytes").distinct()
+    lengths = once.select("source", "mark", (~F.col("ended")).alias("unended"), measure.alias("m")).select("source", "mark", "unended", "m.*")
     found = materialize(limits(lengths), "limits")
 
     def words(frames):
@@ -211,8 +218,22 @@ def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     total = vocabulary.agg(F.sum("n")).head()[0] or 0
     frequent = sc.broadcast(frozenset(r.word for r in vocabulary.where(F.col("n") * common >= total).collect()) | {"@", "#"})
 
-    closings = seen.where("closing <> ''").groupBy("closing").agg(F.count("*").alias("closed")).where(F.col("closed") >= known)
-    suspects = seen.where("not ended or (open and ended and tail[size(tail) - 1] = '\"')").join(closings, "closing", "left").where("closed is null")
+    enough = F.col("closed") >= F.greatest(F.lit(known), F.lit(seen.agg(F.approx_count_distinct("copy")).head()[0] / common))
+    closings = materialize(seen.where("closing <> ''").groupBy("closing").agg(F.countDistinct("copy").alias("closed")).where(enough), "closings")
+    short = sc.broadcast(frozenset(r.closing for r in closings.select("closing").collect()))  # each is the only one of its texts, so `common` at most
+
+    def longer_paragraphs(frames):
+        sizes = sorted({len(c) for c in short.value})
+        for f in frames:
+            rows = []
+            for t, c in zip(f["text"], f["copy"]):
+                heads = {masked(x.strip()[:160]) for x in re.split(r"\n\n+", t)}
+                rows += [(x, c) for x in {h[:k] for h in heads for k in sizes if k < len(h)} & short.value]
+            yield pd.DataFrame(rows, columns=["closing", "copy"])
+
+    goes_on = full.withColumn("copy", copy).select("text", "copy").mapInPandas(longer_paragraphs, "closing string, copy string").groupBy("closing").agg(F.countDistinct("copy").alias("open_ended"))
+    closings = closings.join(goes_on, "closing", "left").where("open_ended is null or open_ended <= closed").select("closing", "closed")
+    suspects = seen.where("not ended or (open and ended and tail[size(tail) - 1] = '\"')").join(closings, "closing", "left")
 
     @F.udf("array<string>")
     def keys(tail):
@@ -230,6 +251,7 @@ def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     s = s.join(vocabulary.select("word", F.col("n").alias("seen")), "word", "left").join(longer, "word", "left").join(best, "id", "left")
     reason = (
         F.when(~F.col("ended") & F.coalesce("at_chars", "at_bytes", F.lit(False)), "limit")
+        .when(F.col("closed").isNotNull(), None)
         .when(F.col("open"), "open")
         .when((F.col("word") != "") & (F.coalesce("seen", F.lit(0)) * 50 < F.col("longer")), "word")
         .when(F.col("c.ends") < F.col("c.n") * least, "sentence")

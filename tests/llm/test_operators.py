@@ -155,3 +155,26 @@ def test_truncation(spark):
     assert all(got[1000 + i] for i, t in enumerate(long) if not t.rstrip().endswith("."))
     assert not any(got[i] for i in range(400)) and got[2004] and got[2005] and not (got[2000] or got[2001] or got[2002] or got[2003] or got[2006])
     assert truncation.truncated(df.limit(0))[0].count() == 0
+
+
+def test_closings(spark):
+    import random
+
+    r = random.Random(4)
+    nouns = "reader writer planner window carrier record signal".split()
+    sentence = lambda: f"The {r.choice(nouns)} {r.randrange(10**6)} should respect the {r.choice(nouns)} before it returns the {r.choice(nouns)}."
+    body = lambda k=3: "\n\n".join(sentence() for _ in range(k))
+    repost = body(2) + "\n\nTh"
+    texts = [("whole", body(r.randrange(1, 9))) for _ in range(300)]
+    texts += [("repost", repost)] * 7  # copies of one cut
+    texts += [("fragment", body() + "\n\nThe rea") for _ in range(8)]  # a beginning that many texts share
+    texts += [("thanks", body() + "\n\nThanks for the") for _ in range(8)]
+    texts += [("limit", (body(9)[:480] + "x" * 480)[:463] + "\n\nThanks for the") for _ in range(12)]  # all of one length
+    texts += [("copies", "One of the reposts has no end mark at all")] * 30
+    df = spark.createDataFrame([(i, "s", t) for i, (_, t) in enumerate(texts)], "doc_id long, source string, text string")
+    findings, found = truncation.truncated(df)
+    got = {}
+    for x in findings.collect():
+        got.setdefault(texts[x.doc_id][0], set()).add(x.reason)
+    assert got["whole"] == {None} and got["thanks"] == {None} and got["limit"] == {"limit"}
+    assert None not in got["repost"] | got["fragment"] and "limit" not in got["repost"] | got["copies"]
