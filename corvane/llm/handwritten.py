@@ -28,6 +28,8 @@ _NOISE = {
     "java": re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"),
     "go": re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"),
 }
+# The comments before the first statement, whatever their length.
+_LEADING = {k: re.compile(r"\ufeff?(?:#![^\n]*)?(?:\s+|" + c + r")*+") for k, c in {"python": r"#[^\n]*", **dict.fromkeys(("javascript", "java", "go"), r"//[^\n]*|/\*[\s\S]*?\*/")}.items()}
 _NAME = re.compile(r"(?<![\w$])[A-Za-z_$][A-Za-z0-9_$]*")
 _SHAPE = re.compile(r"[A-Za-z0-9_$]+")
 _IMPORT = re.compile(r"(?:import|from|package|using)\b|(?:const|var|let) .{0,80}\brequire\(|[\"')(};]+$")
@@ -56,7 +58,7 @@ SCHEMA = (
 
 def features(path: str, language: str, text: str) -> tuple:
     """Names with their counts, and the shares that SCHEMA lists from `short` on."""
-    head = "\n".join(x for x in text[:4000].split("\n")[:12] if _COMMENT.match(x))
+    head = "\n".join([_LEADING[language].match(text).group(), *(x for x in text[:4000].split("\n")[:12] if _COMMENT.match(x))])
     code = _NOISE[language].sub('""', text)
     reserved = RESERVED[language]
     names = Counter(x for x in _NAME.findall(code) if x not in reserved)
@@ -85,7 +87,7 @@ def features(path: str, language: str, text: str) -> tuple:
 
 
 def _trigrams(word: str):
-    w = f"^{word[:64]}$"
+    w = f"^{word}$"
     return (w[i : i + 3] for i in range(len(w) - 2))
 
 
@@ -102,7 +104,7 @@ def classify(evidence: DataFrame, mangled: float = 0.55, odd: float = 0.35, shor
       `shapes` of a body whose names are `odd` bits in excess; or the head's comments or the path say so.
     - vendored: the path or the head's comments say so; or the names' style is `foreign` to the repository's files of
       that language, although they are names of the language.
-    Notices count in comments at the head only, so a file that speaks of generated code is no case.
+    Notices count in the comments before the first statement and in the first 12 lines only, so a file that speaks of generated code is no case.
 
     The model has at most 65^3 trigrams a language, which bounds the broadcast. Null content counts as empty, an empty
     file is hand-written, a null path has no extension; repeated rows give one row; other columns are ignored."""

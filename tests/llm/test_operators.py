@@ -101,6 +101,20 @@ def test_classify(spark):
     assert handwritten.classify(evidence(spark, ROWS).limit(0)).count() == 0
 
 
+def test_notices_behind_licences():
+    licence = "Licensed under the Apache License, Version 2.0; you may use this file in compliance with it.\n"
+    notice = "Code generated by tool v1. DO NOT EDIT."
+    flag = lambda language, text: handwritten.features("a", language, text)[13]
+    assert flag("go", "//go:build x\n\n" + ("// " + licence) * 60 + f"\n// {notice}\n\npackage a\n")
+    assert flag("go", "/*\n" + licence * 20 + f"*/\n\n/*\n{notice}\n*/\npackage a\n") and flag("java", "/*\n" + licence * 2 + f"{notice}\n*/\nclass A {{}}\n")
+    assert flag("python", "#!/usr/bin/env python\n" + ("# " + licence) * 20 + f"# {notice}\nx = 1\n") and flag("javascript", "#!/usr/bin/env node\n/*\n" + licence * 20 + f"{notice} */\nf()\n")
+    for language, text in (("go", "package a\n" + "var x = 1\n" * 20 + f"// {notice}\n"), ("python", "# a\n" * 20 + f'X = "{notice}"\n'), ("javascript", "// a\n" * 20 + f"f('// {notice}')\n"), ("java", "/* a\n" * 20), ("go", "")):
+        assert not flag(language, text), text
+    assert handwritten.features("a", "go", "//" + " x" * 3000 + f"\n// {notice}\npackage a\n")[13]
+    name = "record" * 20 + "Qzx"
+    assert list(handwritten._trigrams(name))[-1] == "zx$"
+
+
 def test_secrets(spark):
     shared = [(f"s{i}", f"s{i}", f"d{i}/c{i}.yaml", "file", f"name{i}_token: Sample-Value-77\n") for i in range(8)]
     df = evidence(spark, [*ROWS, ("m", "m", "n.md", "file", "x\nuse Flush@6888 here\n"), *shared]).withColumn("repo", F.col("file_version_id"))
