@@ -39,6 +39,16 @@ def token_chunks(spark, d):
     return extract.chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, w, unnest(range(0, greatest(1, ceil((len(w) - 64) / 48)::INT + 1))) AS chunk FROM w WHERE len(w) > 0)
+SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(len(w[chunk * 48 + 1:chunk * 48 + 64]) AS INT) AS tokens, array_to_string(w[chunk * 48 + 1:chunk * 48 + 64], ' ') AS text FROM c
+""")
+def token_chunks_whole(spark, d):
+    """token_chunks to the end of every text."""
+    return extract.chunks(table(spark, d, "documents"), "doc_id", "text", most=None)
+
+
 @query()
 def extracted_units(spark, d):
     u = units(spark, d, "file_version_id", "path", "content", "unit_type").where("unit_type = 'file'")

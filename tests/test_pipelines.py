@@ -112,3 +112,15 @@ def test_streams(spark, tmp_path):
     assert events.drain(events.deduplicated(s), "append").count() == 20
     assert events.drain(events.windowed_counts(s), "complete").agg(F.sum("n")).head()[0] == 30
     assert events.drain(events.running_totals(s, 80.0), "update").agg(F.sum("steps")).head()[0] == 30
+
+
+def test_chunks_to_the_end(spark, tmp_path):
+    from corvane.plans import catalog
+
+    words = [str(i) for i in range(1000)]
+    spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:64])), (3, " ".join(words[:65])), (4, " ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in catalog.QUERIES["token_chunks_whole"](spark, str(tmp_path)).orderBy("doc_id", "chunk").collect():
+        assert r.tokens == len(r.text.split())
+        got.setdefault(r.doc_id, []).append(r.text.split())
+    assert [w for k, c in enumerate(got[1]) for w in c[16 if k else 0 :]] == words and {k: len(v) for k, v in got.items()} == {1: 21, 2: 1, 3: 2}
