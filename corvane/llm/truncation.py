@@ -61,11 +61,13 @@ def unclosed(text: str) -> bool:
                 else:
                     depth += (c in "{[") - (c in "}]")
             return quoted or depth > 0
-    last = re.sub(r"```.*?```", "", text, flags=re.S)[-400:].rsplit("\n", 1)[-1]
+    last = re.split(r"\n\s*\n", re.sub(r"```.*?```", "", text, flags=re.S))[-1]  # the whole paragraph: a span may run over lines
     if last.count("`") % 2:
         return True
-    tail = re.split(r"[.!?。！？]\s", last)[-1]
-    return tail.count("(") > tail.count(")")
+    depth = 0
+    for c in re.findall(r"[()]", re.split(r"[.!?。！？]\s", last)[-1]):
+        depth = depth + 1 if c == "(" else max(0, depth - 1)  # a list's "a)" closes nothing
+    return depth > 0
 
 
 def masked(paragraph: str) -> str:

@@ -207,3 +207,10 @@ def test_endings():
     assert look('{"a": "b')[4] and not look('{"a": "b"}')[4] and look("x\n```\ncode")[4]
     assert re.fullmatch("@|[a-z]+", look("see lucidDenseIgn")[6][-1])
     assert json.loads("[]") == []
+
+
+def test_parity_of_the_whole_paragraph():
+    filler = "the planner reads every record before it is merged and " * 9
+    assert not truncation.unclosed(f"Use `alpha {filler}beta` and " + filler) and not truncation.unclosed(f"`{'a' * 30}` {filler[:375]} `b`")
+    assert truncation.unclosed(f"Use `alpha {filler}") and truncation.unclosed(f"Use (alpha {filler}") and truncation.unclosed(f"Use `alpha\n{filler}")
+    assert not truncation.unclosed(f"Use `a\n\n{filler}") and not truncation.unclosed(f"Use (a. {filler}") and truncation.unclosed("a) one\nb) two (see")
