@@ -52,13 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df as a compressed table in the shared folder and reads it back, which cuts its lineage.
 
-    The table outlives executors. It is removed when the application ends.
+    The table outlives executors. It is removed by release or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that materialize wrote and that no later action reads."""
+    for t in tables:
+        _remove(t.sparkSession, t._written)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
