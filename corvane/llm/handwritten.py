@@ -28,15 +28,20 @@ _NOISE = {
     "java": re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"),
     "go": re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"),
 }
-# The comments before the first statement, whatever their length.
-_LEADING = {k: re.compile(r"\ufeff?(?:#![^\n]*)?(?:\s+|" + c + r")*+") for k, c in {"python": r"#[^\n]*", **dict.fromkeys(("javascript", "java", "go"), r"//[^\n]*|/\*[\s\S]*?\*/")}.items()}
+# What stands before the first statement, whatever its length: comments, a docstring, a package clause, a directive.
+_LEADING = {
+    k: re.compile(r"\ufeff?(?:#![^\n]*)?(?:\s+|" + c + r")*+")
+    for k, c in {
+        "python": r"#[^\n]*|[rRuU]?(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')", "javascript": r"//[^\n]*|/\*[\s\S]*?\*/|[\"']use strict[\"'];?",
+        "java": r"//[^\n]*|/\*[\s\S]*?\*/|package [\w.]+ *;", "go": r"//[^\n]*|/\*[\s\S]*?\*/|package \w+",
+    }.items()
+}
 _NAME = re.compile(r"(?<![\w$])[A-Za-z_$][A-Za-z0-9_$]*")
 _SHAPE = re.compile(r"[A-Za-z0-9_$]+")
 _IMPORT = re.compile(r"(?:import|from|package|using)\b|(?:const|var|let) .{0,80}\brequire\(|[\"')(};]+$")
 _DATA = re.compile(r"(?:[-+]?\b(?:0x[0-9a-fA-F]+|\d[\d.eE]*)\b[\s,;:\[\](){}]*){6,}|[A-Za-z0-9+/=\\]{32,}")
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
-_COMMENT = re.compile(r"^\s*(?:#|//|/?\*+|\"\"\"|''')")
 
 # Notices that tools and bundlers leave in comments at a file's head.
 GENERATED_NOTICE = re.compile(
@@ -52,13 +57,13 @@ MINIFIED_PATH = re.compile(r"[.-]min\.\w+$")
 
 SCHEMA = (
     "file_version_id string, repo string, path string, language string, chars int, lines int, names int, distinct int, words array<string>, counts array<int>, short double, longest int,"
-    " dense double, shapes double, figures double, templated double, snake double, generated boolean, vendored boolean, vendored_path boolean, generated_path boolean, minified_path boolean"
+    " dense double, shapes double, figures double, templated double, snake double, generated boolean, vendored boolean, vendored_path boolean, generated_path boolean, minified_path boolean, styled_snake int, styled int"
 )
 
 
 def features(path: str, language: str, text: str) -> tuple:
     """Names with their counts, and the shares that SCHEMA lists from `short` on."""
-    head = "\n".join([_LEADING[language].match(text).group(), *(x for x in text[:4000].split("\n")[:12] if _COMMENT.match(x))])
+    head = _LEADING[language].match(text).group()
     code = _NOISE[language].sub('""', text)
     reserved = RESERVED[language]
     names = Counter(x for x in _NAME.findall(code) if x not in reserved)
@@ -73,7 +78,8 @@ def features(path: str, language: str, text: str) -> tuple:
     packed = sum(len(x) for x in lines if len(x) > 100 and x.count(" ") * 8 < len(x))
     data = sum(len(x) for x in _DATA.findall(text))
     wordy = [x for x in names if len(x) > 3]
-    snake = sum("_" in x.strip("_") for x in wordy) / max(1, sum("_" in x.strip("_") or x[1:].lower() != x[1:] for x in wordy))
+    styled_snake = sum("_" in x.strip("_") for x in wordy)
+    styled = sum("_" in x.strip("_") or x[1:].lower() != x[1:] for x in wordy)
     form = {x: _DIGITS.sub("#", _WORD.sub("w", x)) for x in names if _DIGITS.search(x)}
     family = Counter(form.values())
     templated = sum(names[x] for x, f in form.items() if family[f] >= 5) / max(1, n)
@@ -81,8 +87,8 @@ def features(path: str, language: str, text: str) -> tuple:
     return (
         len(text), len(lines), n, len(names), list(names), list(names.values()),
         sum(c for x, c in names.items() if len(x) <= 2) / max(1, n), max(raw, default=0), max(long, packed) / solid, common / max(1, len(body)),
-        data / max(1, len(text)), templated, snake, bool(GENERATED_NOTICE.search(head)), bool(VENDORED_NOTICE.search(head)),
-        bool(VENDORED_PATH.search(path)), bool(GENERATED_PATH.search(path)), bool(MINIFIED_PATH.search(path)),
+        data / max(1, len(text)), templated, styled_snake / max(1, styled), bool(GENERATED_NOTICE.search(head)), bool(VENDORED_NOTICE.search(head)),
+        bool(VENDORED_PATH.search(path)), bool(GENERATED_PATH.search(path)), bool(MINIFIED_PATH.search(path)), styled_snake, styled,
     )
 
 
@@ -91,7 +97,7 @@ def _trigrams(word: str):
     return (w[i : i + 3] for i in range(len(w) - 2))
 
 
-def classify(evidence: DataFrame, mangled: float = 0.55, odd: float = 0.35, short: float = 0.3, figures: float = 0.5, templated: float = 0.3, shapes: float = 0.8, foreign: float = 0.7) -> DataFrame:
+def classify(evidence: DataFrame, mangled: float = 0.55, odd: float = 0.35, short: float = 0.3, figures: float = 0.5, templated: float = 0.3, shapes: float = 0.8, foreign: float = 0.6, support: int = 8) -> DataFrame:
     """(file_version_id, repo, path, language, kind, excess): one row per file version of a known extension with a file
     unit; kind is minified, data, generated, vendored or null for hand-written source.
 
@@ -101,10 +107,12 @@ def classify(evidence: DataFrame, mangled: float = 0.55, odd: float = 0.35, shor
       path that says so.
     - data: numbers and unbroken literals fill over `figures` of the text.
     - generated: over `templated` of the names are numbered members of one template; or six line shapes make up over
-      `shapes` of a body whose names are `odd` bits in excess; or the head's comments or the path say so.
-    - vendored: the path or the head's comments say so; or the names' style is `foreign` to the repository's files of
-      that language, although they are names of the language.
-    Notices count in the comments before the first statement and in the first 12 lines only, so a file that speaks of generated code is no case.
+      `shapes` of a body, by more than three lines, whose names are `odd` bits in excess; or what precedes the first statement or the path say so.
+    - vendored: what precedes the first statement or the path says so; or the names' style, the share of those joined
+      by underscores, is `foreign` to the repository's other files of that language, although they are names of the
+      language by their entropy. Both shares are drawn towards the language's with the weight of `support` names or
+      files, so that few of them say little.
+    Notices count before the first statement only, so a file that speaks of generated code is no case.
 
     The model has at most 65^3 trigrams a language, which bounds the broadcast. Null content counts as empty, an empty
     file is hand-written, a null path has no extension; repeated rows give one row; other columns are ignored."""
@@ -171,15 +179,21 @@ def classify(evidence: DataFrame, mangled: float = 0.55, odd: float = 0.35, shor
 
     scored = materialize(seen.withColumn("bits", entropy("language", "words", "counts")).drop("words", "counts"), "scores")
     middle = scored.where("names > 0").groupBy("language").agg(F.percentile_approx("bits", 0.5, 1000).alias("middle"))
-    style = scored.where("names >= 40").groupBy("repo", "language").agg(F.count("*").alias("files"), F.avg("snake").alias("style"))
     c = F.col
-    x = scored.join(F.broadcast(middle), "language", "left").join(style, ["repo", "language"], "left").withColumn("excess", F.coalesce(c("bits") - c("middle"), F.lit(0.0)))
-    vendored = c("vendored_path") | c("vendored") | ((c("files") >= 5) & (c("names") >= 40) & (F.abs(c("snake") - c("style")) >= foreign) & (c("excess") < odd / 2))
+    x = scored.join(F.broadcast(middle), "language", "left").withColumn("excess", F.coalesce(c("bits") - c("middle"), F.lit(0.0)))
+    # Shares of snake names, drawn towards the language's by as much as `support` names or files weigh.
+    common = scored.groupBy("language").agg(F.try_divide(F.sum("styled_snake"), F.sum("styled")).alias("common"))
+    own = scored.groupBy("repo", "language").agg(F.sum("snake").alias("all_snake"), F.count("*").alias("files"))
+    x = x.join(F.broadcast(common), "language", "left").join(own, ["repo", "language"], "left")
+    prior = F.coalesce(c("common"), F.lit(0.5))
+    mine = (c("styled_snake") + support * prior) / (c("styled") + support)
+    rest = (c("all_snake") - c("snake") + support * prior) / (c("files") - 1 + support)
+    vendored = c("vendored_path") | c("vendored") | ((F.abs(mine - rest) >= foreign) & (c("excess") < odd / 2))
     kind = (
         F.when(c("lines") == 0, None)
         .when(c("figures") > figures, F.when(c("generated") | c("generated_path") | (c("templated") > templated), "generated").otherwise("data"))
         .when(c("minified_path") | ((c("excess") > mangled) & (c("short") > short)), "minified")
-        .when(c("generated") | c("generated_path") | (c("templated") > templated) | ((c("excess") > odd) & (c("shapes") > shapes) & (c("lines") >= 15) & (c("names") >= 30)), "generated")
+        .when(c("generated") | c("generated_path") | (c("templated") > templated) | ((c("excess") > odd) & (c("shapes") > shapes) & (c("lines") * (c("shapes") - shapes) > 3)), "generated")
         .when(F.coalesce(vendored, F.lit(False)), "vendored")
     )
     return x.withColumn("kind", kind).groupBy("file_version_id").agg(*(F.max(n).alias(n) for n in ("repo", "path", "language", "kind", "excess")))

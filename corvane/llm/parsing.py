@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import ast
 import functools
 import re
-import sys
 
 from corvane.llm import grammars
 from corvane.llm.grammar import Automaton, Grammar
@@ -126,7 +124,7 @@ def _field(text: str) -> bool:
             continue
         if k in ("ERROR", "#"):
             if m.group(1) == "!" and depth == 0:
-                rest = re.match(r"!\s*[rsa]\s*(?::(.*))?\Z", text[m.start(1) :], re.S)
+                rest = re.match(r"![rsa]\s*(?::(.*))?\Z", text[m.start(1) :], re.S)
                 return bool(rest) and _expression(kinds) and _spec(rest.group(1) or "", True)
             return False
         if depth == 0 and k == ":":
@@ -456,11 +454,8 @@ def automaton(language: str) -> Automaton:
     return a
 
 
-def first_error(language: str, text: str, exact: bool = True) -> int:
-    """The 1-based line of a file's first unrecoverable error, 0 if it parses.
-
-    `exact`: a Python file that the automaton rejects is tried by the interpreter's own parser if it is 3.13."""
-    text_in = text
+def first_error(language: str, text: str) -> int:
+    """The 1-based line of a file's first unrecoverable error, 0 if it parses."""
     if language in ("python", "javascript", "go") and text[:1] == "\ufeff":
         text = text[1:]
     if language == "javascript" and text.startswith("#!"):
@@ -488,12 +483,6 @@ def first_error(language: str, text: str, exact: bool = True) -> int:
     except Lexed as e:
         at = a.parse(e.tokens, "file") if e.tokens else -1
         index = e.where[at] if 0 <= at < len(e.where) else e.at
-    if language == "python" and exact and sys.version_info[:2] == (3, 13):
-        try:
-            ast.parse(text_in)
-            return 0
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            pass
     if index < 0:
         return text.count("\n") + 1
     if language == "javascript":

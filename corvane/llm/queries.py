@@ -17,23 +17,25 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_oversized(table(spark, folder, "evidence"))
 
 
-def _overlap(spark: SparkSession, folder: str) -> DataFrame:
+def _overlap(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return overlap.cross_split_overlap(table(spark, folder, "normalize_swebench_task"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = _overlap(spark, folder)
+    pairs, _ = _overlap(spark, folder)
     return pairs.select(F.least("eval_id", "train_id").alias("task_id_a"), F.greatest("eval_id", "train_id").alias("task_id_b")).distinct()
 
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Per split and source of the evaluation record: records, records with an overlap, their rate, pairs."""
+    """Per split and source of the evaluation record: records, records with an overlap, their rate, pairs, and the mean
+    share of an overlapping record's words that the matched intervals of all its training records cover."""
     tasks = table(spark, folder, "normalize_swebench_task").where(F.col("split").isin("validation", "benchmark"))
     own = tasks.select("split", "source", F.col("task_id").alias("eval_id")).distinct()
-    hits = _overlap(spark, folder).groupBy("eval_id").agg(F.count("*").alias("pairs"))
+    pairs, coverage = _overlap(spark, folder)
+    hits = pairs.groupBy("eval_id").agg(F.count("*").alias("pairs")).join(coverage, "eval_id")
     return (
         own.join(hits, "eval_id", "left").groupBy("split", "source")
-        .agg(F.count("*").alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+        .agg(F.count("*").alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.avg("coverage"), 6).alias("coverage"))
         .withColumn("rate", F.round(F.col("overlapping") / F.col("records"), 6))
     )
 
@@ -66,6 +68,11 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.redacted(evidence, secrets.find_secrets(evidence)[0])
 
 
+def p5_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """How many values, and how many lines of theirs, each step of the search leaves."""
+    return secrets.steps(table(spark, folder, "evidence"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return validity.judge(table(spark, folder, "evidence")).where("error_line is not null").select("file_version_id")
 

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,11 @@ SPEAKS_OF = frozenset(
 CONFIG = frozenset("env ini toml yaml yml properties cfg conf json".split())
 
 LITERAL = re.compile(r"\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`")
-JOINED = re.compile(r"\s*(?:\+|\.)?\s*$")
 NAME_BEFORE = re.compile(r"([A-Za-z_$][\w.$-]*)[\"'`\])]*\s*(?::\s*(?:final\s+)?\w*\s*)?(?::=|=>|=|:|\(|,)\s*(?:[rbuf]\b)?$")
-BARE = re.compile(r"([A-Za-z_][\w.-]*)[ \t]*(?:=|:)[ \t]*([^\s\"'`#,;(){}\[\]]{6,})")
-SPOKEN = re.compile(r"\b(password|passwd|pwd|token|secret)(?:\s+is)?[ :]+([^\s\"'`,;()]{6,})", re.I)
-URL = re.compile(r"\b[a-z][a-z0-9+.-]*://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{3,128})@", re.I)
+BARE = re.compile(r"(?<![\w.-])([A-Za-z_][\w.-]*)[ \t]*(?:=|:)[ \t]*(?=([^\s\"'`#,;(){}\[\]]{6,}))")
+SPOKEN = re.compile(r"\b(password|passwd|pwd|token|secret)(?:\s+is)?[ :]+[\"'`]?([^\s\"'`,;()]{6,})", re.I)
+PAIR = re.compile(r"(?:(?<=[;?&])|(?<=[\"'`]))[ \t]*([A-Za-z][\w-]*)[ \t]*=[ \t]*([^;&\"'`\s]{6,})")
+URL = re.compile(r"\b[a-z][a-z0-9+.-]*://[^\s/:@\"'<>]*:([^\s/@\"'<>]{3,})@", re.I)
 SCHEME = re.compile(r"\b(Bearer|Basic|Token)\s+([A-Za-z0-9+/_=.~-]{8,})")
 # Formats of issued credentials.
 STRUCTURED = re.compile(
@@ -36,6 +37,7 @@ STRUCTURED = re.compile(
 ISSUED = re.compile(r"eyJ[\w-]{8,}\.eyJ|A[KS]IA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{30,}$|xox[abprs]-|[sr]k_(?:live|test)_")
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+BODY = re.compile(r"[A-Za-z0-9+/=\s\"'\\,]*")
 # Every line that line_candidates accepts, or that opens a private key, has a hit: in each form, what it can't do without.
 HINT = re.compile(
     "|".join(
@@ -43,7 +45,7 @@ HINT = re.compile(
             *sorted(x for x in SECRET_PARTS if not any(y in x for y in SECRET_PARTS - {x})),
             rf"(?:{'|'.join(sorted(KEY_OWNERS))})(?a:[^A-Za-z\n]*)key",
             r"basic[^\S\n]+[A-Za-z0-9+/_=.~-]{8}",
-            r"://[^\s/:@\"'<>]{0,64}:[^\s/@\"'<>]{3,128}@",
+            r"://[^\s/:@\"'<>]*:[^\s/@\"'<>]{3,}@",
             r"[\"'`](?:[^\S\n]*\+[^\S\n]*|[^\S\n]+)[\"'`]",
             rf"(?-i:{STRUCTURED.pattern})",
         ]
@@ -97,23 +99,26 @@ def usable(value: str, named: bool) -> bool:
 
 
 def _literals(line: str):
-    """(value, [(start, end) of its parts], text before it) of string literals; literals joined on the line are one."""
-    held = None
+    """(value, [(start, end) of its parts], where its first literal begins, where the search for its name begins) of
+    string literals; literals joined on the line are one. A name stands between a literal and the one before it, or is
+    that one."""
+    held, before = None, 0
     for m in LITERAL.finditer(line):
         g = next(i for i in (1, 2, 3) if m.group(i) is not None)
         span = m.span(g)
-        if held and JOINED.match(line, held[3], m.start()) and re.fullmatch(r"\s*\+\s*|\s+", line[held[3] : m.start()]):
-            held = (held[0] + m.group(g), [*held[1], span], held[2], m.end())
+        if held and re.fullmatch(r"\s*\+\s*|\s+", line[held[4] : m.start()]):
+            held = (held[0] + m.group(g), [*held[1], span], held[2], held[3], m.end())
             continue
         if held:
-            yield held[:3]
-        held = (m.group(g), [span], line[: m.start()], m.end())
+            yield held[:4]
+            before = held[1][0][0]
+        held = (m.group(g), [span], m.start(), before, m.end())
     if held:
-        yield held[:3]
+        yield held[:4]
 
 
 def line_candidates(line: str, ext: str):
-    """(key, value, spans, named) of what may be a credential on a line."""
+    """(key, value, spans, named) of what stands where a credential may, whatever the value."""
     comment = bool(re.match(r"\s*(?:#|//|/?\*|--|;|<!--)", line))
     found = []
     for m in URL.finditer(line):
@@ -132,36 +137,30 @@ def line_candidates(line: str, ext: str):
             continue
         found.append((m.group(1).lower(), inner, [m.span(2)], True))
     previous = ""
-    for value, spans, before in _literals(line):
-        m = NAME_BEFORE.search(before[-120:])
-        name = m.group(1) if m else ""
-        key = previous if re.search(r"[\"'`]\s*(?:,|:|=>)\s*$", before) else name
+    for value, spans, at, since in _literals(line):
+        m = NAME_BEFORE.search(line, since, at)
+        key = previous if re.search(r"[\"'`]\s*(?:,|:|=>)\s*$", line[since:at]) else m.group(1) if m else ""
         previous = value
-        if ext == "json" and not before.strip():
+        if ext == "json" and not line[:at].strip():
             continue
-        s = STRUCTURED.fullmatch(value)
         if names_secret(key):
             found.append((key, value, spans, True))
-        elif s:
+        elif STRUCTURED.fullmatch(value):
             found.append((key, value, spans, False))
     if ext in CONFIG - {"json"} or comment or ext in ("md", "txt", "rst"):
         for m in BARE.finditer(line):
             if ext in CONFIG or names_secret(m.group(1)):
                 found.append((m.group(1), m.group(2), [m.span(2)], names_secret(m.group(1))))
+    for m in PAIR.finditer(line):
+        if names_secret(m.group(1)):
+            found.append((m.group(1), m.group(2), [m.span(2)], True))
     if comment or ext in ("md", "txt", "rst"):
         for m in SPOKEN.finditer(line):
-            found.append((m.group(1).lower(), m.group(2).rstrip(".!?"), [(m.start(2), m.start(2) + len(m.group(2).rstrip(".!?")))], True))
+            value = m.group(2).rstrip(".!?")
+            found.append((m.group(1).lower(), value, [(m.start(2), m.start(2) + len(value))], True))
     for m in STRUCTURED.finditer(line):
         found.append(("", m.group(1), [m.span(1)], False))
-    seen = []
-    for key, value, spans, named in found:
-        if not named and not (STRUCTURED.fullmatch(value) and (ISSUED.match(value) or re.search(r"\d", value) and re.search(r"[A-Za-z]", value))):
-            continue
-        if not named and re.search(r"^data:|^v?\d+\.", value):
-            continue
-        if usable(value, named) and not any(a < spans[-1][1] and spans[0][0] < b for _, _, ss, _ in seen for a, b in ss):
-            seen.append((key, value, spans, named))
-    return seen
+    return found
 
 
 def candidates(path: str, text: str) -> list[tuple]:
@@ -177,16 +176,39 @@ def candidates(path: str, text: str) -> list[tuple]:
         line = text[a:b]
         key = PRIVATE.search(line)
         if key:
-            end = PRIVATE_END.search(text, a + key.end())
-            last = end.start() if end and end.start() - a < 20_000 else min(len(text), a + key.end() + 4000)
-            body = re.sub(r"\\n|[\s\"'+\\]", "", text[a + key.end() : last])
+            begin = a + key.end()
+            end = PRIVATE_END.search(text, begin)
+            other = PRIVATE.search(text, begin)
+            last = end.start() if end and not (other and other.start() < end.start()) else BODY.match(text, begin).end()
+            body = re.sub(r"\\n|[\s\"'+\\]", "", text[begin:last])
             body = re.match(r"(?:[A-Za-z-]+:[^\n]*?)?([A-Za-z0-9/=]*)", body.replace("+", "")).group(1)
-            if len(body) >= 40 and not PLACEHOLDER.search(body[:60]) and bits(body) > 4:
-                out.append((text.count("\n", 0, a) + 1, "private key", text[a + key.end() : last], a + key.end(), last, "block"))
+            if len(body) >= 40 and bits(body) > 4:
+                out.append((text.count("\n", 0, a) + 1, "private key", text[begin:last], begin, last, "block"))
                 done = max(done, last)
                 continue
+        number = text.count("\n", 0, a) + 1
         for name, value, spans, named in line_candidates(line, ext):
-            out.append((text.count("\n", 0, a) + 1, name, value, a + spans[0][0], a + spans[-1][1], "named" if named else "structured"))
+            if len(value) >= 6 and not any(c.isspace() for c in value):
+                out.append((number, name, value, a + spans[0][0], a + spans[-1][1], "named" if named else "structured"))
+    return out
+
+
+def confirmed_form(value: str, named: bool) -> bool:
+    """Whether a value has the form of a credential: one that its name calls so, or a structured one."""
+    if not named:
+        if not STRUCTURED.fullmatch(value) or re.search(r"^data:|^v?\d+\.", value):
+            return False
+        if not (ISSUED.match(value) or re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
+            return False
+    return usable(value, named)
+
+
+def line_credentials(line: str, ext: str) -> list[tuple]:
+    """The candidates of a line that have a credential's form, without those that overlap an earlier one."""
+    out: list[tuple] = []
+    for key, value, spans, named in line_candidates(line, ext):
+        if confirmed_form(value, named) and not any(a < spans[-1][1] and spans[0][0] < b for _, _, ss, _ in out for a, b in ss):
+            out.append((key, value, spans, named))
     return out
 
 
@@ -204,61 +226,80 @@ def redact(text: str, ranges: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def find_secrets(evidence: DataFrame, owners: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(secrets, confirmed). secrets: file_version_id, path, line_no, first, last (offsets), kind of every credential
-    in the `file` units; confirmed: value, keys, repos.
+_LOOK = "file_version_id string, repo string, path string, line_no int, name string, value string, first int, last int, kind string"
 
-    All candidate literals are indexed over the corpus: by value, the distinct names they are given and the
-    repositories that hold them. A value given to `owners` names in `owners` repositories is a shared placeholder. The
-    rest is confirmed, and every file is scanned for the confirmed values by the automaton, so that a value confirmed
-    in one place is found wherever it stands. Private key blocks are found by their structure.
 
-    Null content and paths count as empty; a credential that runs over lines counts at the line where it begins;
-    repeated rows give one row; other columns are ignored."""
+def _index(evidence: DataFrame, owners: int):
+    """(files, seen, hits, index). seen: what stands where a credential may; hits: the automaton's matches of all these
+    values in all files; index: value, named, names, repos, shared, form."""
     ship(evidence.sparkSession)
     files = evidence.where("unit_type = 'file' and file_version_id is not null").select(
         "file_version_id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("content", F.lit("")).alias("content"))
-    schema = "file_version_id string, repo string, path string, line_no int, name string, value string, first int, last int, kind string"
 
     def look(frames):
         for f in frames:
             rows = [(i, r, p, *c) for i, r, p, t in f[["file_version_id", "repo", "path", "content"]].itertuples(index=False) for c in candidates(p, t)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    seen = materialize(files.mapInPandas(look, schema), "literals")
-    index = seen.where("kind <> 'block'").groupBy("value").agg(
-        F.approx_count_distinct(F.concat_ws("|", "name", F.element_at(F.split("path", "/"), -1)), 0.02).alias("names"), F.approx_count_distinct("repo", 0.02).alias("repos"), F.count("*").alias("uses"))
-    confirmed = materialize(index.where((F.col("names") < owners) | (F.col("repos") < owners)), "confirmed")
-    # The value as one run of characters is searched; a joined literal stays where its candidate was found.
-    hits = scan(files.select(F.concat_ws("\x1f", "file_version_id", "path").alias("file"), "content"), "file", "content", confirmed, "value")
-
-    @F.udf("array<struct<line_no:int,first:int,last:int>>")
-    def lines(text, spans):
-        out, kept = [], -1
-        for s in sorted(spans, key=lambda x: (x["first"], -x["last"])):
-            a, b = s["first"], s["last"] + 1
-            edge = lambda c: c.isalnum() or c == "_"
-            if a <= kept or (a and edge(text[a - 1]) and edge(text[a])) or (b < len(text) and edge(text[b]) and edge(text[b - 1])):
-                continue
-            kept = b - 1
-            out.append((text.count("\n", 0, a) + 1, a, b))
-        return out
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _LOOK.split(", ")])
+
+    seen = materialize(files.mapInPandas(look, _LOOK), "literals")
+    values = seen.where("kind <> 'block'")
+    whole = files.select(F.concat_ws("\x1f", "file_version_id", "path", "repo").alias("file"), "content")
+    hits = materialize(scan(whole, "file", "content", values, "value", whole=True, lines=True), "occurrences")
+    repos = hits.select("value", F.element_at(F.split("file", "\x1f"), 3).alias("repo")).groupBy("value").agg(F.approx_count_distinct("repo", 0.02).alias("repos"))
+    index = values.groupBy("value").agg(F.approx_count_distinct(F.lower("name"), 0.02).alias("names"), F.max(F.col("kind") == "named").alias("named")).join(repos, "value", "left")
 
-    spots = hits.groupBy("file").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spots = files.withColumn("file", F.concat_ws("\x1f", "file_version_id", "path")).dropDuplicates(["file"]).join(spots, "file").select(
-        "file_version_id", "path", F.explode(lines("content", "spans")).alias("s")).select("file_version_id", "path", "s.*", F.lit("value").alias("kind"))
+    @F.arrow_udf("boolean")
+    def form(value, named):
+        return pa.array([confirmed_form(v, n) for v, n in zip(value.to_pylist(), named.to_pylist())], pa.bool_())
+
+    index = index.withColumn("shared", (F.col("names") >= owners) & (F.coalesce("repos", F.lit(0)) >= owners)).withColumn("form", form("value", "named"))
+    return files, seen, hits, materialize(index, "values")
+
+
+def find_secrets(evidence: DataFrame, owners: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(secrets, confirmed). secrets: file_version_id, path, line_no, first, last (offsets), kind of every credential
+    in the `file` units; confirmed: value, names, repos.
+
+    Every literal, setting, pair and part of an address that stands where a credential may, placeholders among them, is
+    indexed over the corpus: the automaton looks for all these values in every file, so that the index counts the
+    repositories of all their occurrences, and the distinct names that they are given. A value of `owners` names in
+    `owners` repositories is a shared placeholder; a secret that is copied with its file keeps its name. The rest is
+    confirmed if it is a structured value, or a named one of a credential's form and entropy (6 characters at least).
+    As the automaton has scanned every file for the values already, a confirmed one is found wherever it stands, at no
+    second pass. Private key blocks are found by their structure.
+
+    Null content and paths count as empty; a credential that runs over lines counts at the line where it begins;
+    repeated rows give one row; other columns are ignored."""
+    _, seen, hits, index = _index(evidence, owners)
+    confirmed = index.where("form and not shared").select("value", "names", "repos")
+    spots = hits.join(confirmed.select("value"), "value", "left_semi").select(F.split("file", "\x1f").alias("f"), F.explode("spans").alias("s")).select(
+        F.col("f")[0].alias("file_version_id"), F.col("f")[1].alias("path"), F.col("s.line").alias("line_no"), F.col("s.first").alias("first"), (F.col("s.last") + 1).alias("last"), F.lit("value").alias("kind"))
     own = seen.join(confirmed.select("value", "names"), "value", "left").where("kind = 'block' or names is not null")
     own = own.select("file_version_id", "path", "line_no", "first", "last", "kind")
     return own.unionByName(spots).distinct(), confirmed
 
 
+def steps(evidence: DataFrame, owners: int = 5) -> DataFrame:
+    """(step, n): values indexed, of these shared by too many owners, without a credential's form, confirmed; lines
+    where a confirmed value stands as a candidate, lines that the automaton adds, lines of private keys."""
+    _, seen, hits, index = _index(evidence, owners)
+    counts = index.agg(F.count("*").alias("indexed"), F.count_if(F.col("shared")).alias("shared"), F.count_if(~F.col("shared") & ~F.col("form")).alias("no form"), F.count_if(F.col("form") & ~F.col("shared")).alias("confirmed"))
+    confirmed = index.where("form and not shared").select("value")
+    line = lambda df: df.select("file_version_id", "line_no").distinct()
+    own = line(seen.where("kind <> 'block'").join(confirmed, "value", "left_semi"))
+    all_lines = line(hits.join(confirmed, "value", "left_semi").select(F.split("file", "\x1f")[0].alias("file_version_id"), F.explode("spans.line").alias("line_no")))
+    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("step"), "n")
+    values = counts.select(F.explode(F.array(*(F.struct(F.lit(f"values {c}").alias("step"), F.col(c).alias("n")) for c in counts.columns))).alias("s")).select("s.*")
+    return values.unionByName(one("lines of candidates", own)).unionByName(one("lines added by the automaton", all_lines.subtract(own))).unionByName(one("lines of private keys", line(seen.where("kind = 'block'"))))
+
+
 def redacted(evidence: DataFrame, secrets: DataFrame) -> DataFrame:
     """(file_version_id, path, credentials, content): the files that hold credentials, with these masked."""
     files = evidence.where("unit_type = 'file'").select("file_version_id", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("content", F.lit("")).alias("content"))
     ranges = secrets.groupBy("file_version_id", "path").agg(F.collect_set(F.struct("first", "last")).alias("ranges"), F.countDistinct("line_no").alias("credentials"))
 
-    @F.udf("string")
+    @F.arrow_udf("string")
     def mask(text, spots):
-        return redact(text, [(s["first"], s["last"]) for s in spots])
+        return pa.array([redact(t, [(s["first"], s["last"]) for s in ss]) for t, ss in zip(text.to_pylist(), spots.to_pylist())], pa.string())
 
     return files.dropDuplicates(["file_version_id", "path"]).join(ranges, ["file_version_id", "path"]).select("file_version_id", "path", "credentials", mask("content", "ranges").alias("content"))

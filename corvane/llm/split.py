@@ -13,7 +13,7 @@ from corvane.llm.tokens import TOKEN_RE, rendered, token_count
 from corvane.session import ship
 
 WORD_RE = re.compile(r"[A-Za-z_]\w+|[^\W\d_]{2,}")
-SCHEMA = "evidence_id string, file_version_id string, piece_no int, start_line int, end_line int, content string, rendered_token_count int"
+SCHEMA = "evidence_id string, file_version_id string, piece_no int, path string, unit_type string, symbol string, start_line int, end_line int, content string, rendered_token_count int"
 
 
 def cohesion(lines: list[str], block: int, window: int = 256) -> list[float]:
@@ -111,35 +111,57 @@ def pieces(content: str, first_line: int, budget: int, overlap: int = 3, block:
     return out
 
 
+def _shorten(text: str | None, most: int) -> str | None:
+    """The last `most` tokens of a text, which is left whole if it has no more."""
+    found = list(TOKEN_RE.finditer(text or ""))
+    return text if len(found) <= most else text[found[-most].start() :]
+
+
+def header(path, unit_type, symbol, limit: int) -> tuple:
+    """(path, unit_type, symbol, tokens) of a header that leaves a sixteenth of the limit at least to the content: a
+    longer one keeps the last tokens of each field, a third of the room at most."""
+
+    def tokens(p, u, s):
+        return sum(len(TOKEN_RE.findall(x)) for x in ("[PATH] [TYPE] [LINES] 1-1 [CONTENT]", p or "", u or "", "" if s is None else "[SYMBOL] " + s))
+
+    whole = tokens(path, unit_type, symbol)
+    room = limit - max(1, limit // 16)
+    if whole <= room:
+        return path, unit_type, symbol, whole
+    most = max(1, (room - tokens("", "", None if symbol is None else "")) // 3)
+    path, unit_type, symbol = (_shorten(x, most) for x in (path, unit_type, symbol))
+    return path, unit_type, symbol, tokens(path, unit_type, symbol)
+
+
 def split_oversized(units: DataFrame, limit: int = 1024, overlap: int = 3, block: int = 8) -> DataFrame:
     """Pieces of the units (all but `file` units) whose rendered form has over `limit` tokens.
 
-    Columns: those of SCHEMA; rendered_token_count is the piece's own, at most `limit`. Counting runs in the JVM and
-    leaves a few percent of the rows to the segmenter; there is no shuffle but the one that drops re-delivered rows.
-    Null content counts as empty, a null line number as 1, other nulls render as nothing; the given
-    rendered_token_count is not read. Repeated rows of an evidence_id give one set of pieces. A header that leaves less
-    than a sixteenth of the limit is left out of the budget. Other columns are ignored."""
+    Columns: those of SCHEMA; rendered_token_count is the piece's own, at most `limit`, which must be 64 or more.
+    Counting runs in the JVM and leaves a few percent of the rows to the segmenter; there is no shuffle but the one that
+    drops re-delivered rows. Null content counts as empty, a null line number as 1, other nulls render as nothing; the
+    given rendered_token_count is not read. Repeated rows of an evidence_id give one set of pieces. path, unit_type and
+    symbol are the unit's, but a header of over 15/16 of the limit is shortened. Other columns are ignored."""
+    if limit < 64:
+        raise ValueError("a limit under 64 leaves no room for the header")
     ship(units.sparkSession)
     c = F.col
     text = rendered(c("path"), c("unit_type"), c("start_line"), c("end_line"), c("symbol"), c("content"))
-    head = rendered(c("path"), c("unit_type"), c("start_line"), c("end_line"), c("symbol"), F.lit(""))
     large = (
         units.select("evidence_id", "file_version_id", "path", "unit_type", "start_line", "end_line", "symbol", "content")
         .where(F.coalesce(c("unit_type"), F.lit("")) != "file")
         .where((F.length(text) > limit) & (token_count(text) > limit))
-        .select("evidence_id", "file_version_id", F.coalesce(c("start_line"), F.lit(1)).alias("start_line"), "content", token_count(head).alias("head"))
-        .groupBy("evidence_id")
-        .agg(*(F.min_by(x, F.struct("content", "file_version_id", "start_line")).alias(x) for x in ("file_version_id", "start_line", "content", "head")))
-    )
+        .select("evidence_id", "file_version_id", "path", "unit_type", "symbol", F.coalesce(c("start_line"), F.lit(1)).alias("start_line"), "content")
+        .groupBy("evidence_id").agg(F.min(F.struct("content", "file_version_id", "start_line", "path", "unit_type", "symbol")).alias("u")).select("evidence_id", "u.*")
+    )
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(frames):
         for f in frames:
             rows = []
-            for eid, fid, first, content, head in f[["evidence_id", "file_version_id", "start_line", "content", "head"]].itertuples(index=False):
-                room = limit - head if limit - head >= limit // 16 else limit
-                cost = head if room != limit else 0
-                for k, (a, b, t) in enumerate(pieces(content or "", int(first), room, overlap, block)):
-                    rows.append((eid, fid, k, a, b, t, cost + len(TOKEN_RE.findall(t))))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+            for eid, fid, first, content, *fields in f[["evidence_id", "file_version_id", "start_line", "content", "path", "unit_type", "symbol"]].itertuples(index=False):
+                path, kind, symbol, cost = header(*fields, limit)
+                for k, (a, b, t) in enumerate(pieces(content or "", int(first), limit - cost, overlap, block)):
+                    rows.append((eid, fid, k, path, kind, symbol, a, b, t, cost + len(TOKEN_RE.findall(t))))
+            yield pd.DataFrame(rows, columns=names)
 
     return large.mapInPandas(run, SCHEMA)

@@ -94,12 +94,12 @@ def inspect(text: str) -> tuple:
 
 
 def _poisson_tail(n: int, mean: float) -> float:
-    """P(X >= n)."""
-    if n <= 0:
+    """P(X >= n) for n over the mean; else 1, which is no less than it."""
+    if n <= mean:
         return 1.0
-    term = math.exp(-mean + n * math.log(mean) - math.lgamma(n + 1))
+    term = math.exp(-mean + n * math.log(mean) - math.lgamma(n + 1))  # the largest, as terms fall beyond the mean
     total, k = 0.0, n
-    while term > 1e-18 * max(total, 1e-300) and k < n + 10_000:
+    while term > 1e-18 * max(total, 1e-300):
         total += term
         k += 1
         term *= mean / k

@@ -10,12 +10,12 @@ from corvane.llm.parsing import EXTENSIONS, first_error
 from corvane.session import ship
 
 
-def judge(evidence: DataFrame, exact: bool = True) -> DataFrame:
+def judge(evidence: DataFrame) -> DataFrame:
     """(file_version_id, repo, path, language, declared, error_line) of every `file` unit with a judged extension.
 
     Each text is parsed whole by the table-driven automaton of its extension's language; error_line is the line of the
     first error after which no parse survives, null if the file parses. `declared` is the language that the metadata
-    names, which plays no part. `exact`: what the Python automaton rejects is tried by the interpreter's own parser.
+    names, which plays no part.
 
     One narrow stage, then a grouping of its small rows that drops re-delivered ones. Null content counts as empty:
     valid Python, JavaScript and Java, but no Go or JSON. A null path has no extension; other columns are ignored."""
@@ -29,7 +29,7 @@ def judge(evidence: DataFrame, exact: bool = True) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            lines = [first_error(k, t, exact) for k, t in zip(f["language"], f["content"])]
+            lines = [first_error(k, t) for k, t in zip(f["language"], f["content"])]
             yield f[["file_version_id", "repo", "path", "language", "declared"]].assign(error_line=pd.array([x or None for x in lines], "Int32"))
 
     out = src.mapInPandas(run, "file_version_id string, repo string, path string, language string, declared string, error_line int")

@@ -1,11 +1,12 @@
 """The operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import itertools
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, handwritten, mixing, neardup, overlap, secrets, split, truncation, validity
+from corvane.llm import automaton, bpe, handwritten, mixing, neardup, overlap, secrets, split, truncation, validity
 from corvane.llm.tokens import TOKEN_RE
 
 EVIDENCE = "evidence_id string, file_version_id string, repo string, path string, unit_type string, symbol string, start_line int, end_line int, content string, metadata string, doc string, n int, bands string, line_no int, p string"
@@ -84,9 +85,43 @@ def test_overlap(spark):
     g = lambda t: {tuple(x) for x in zip(*(re.findall("[a-z0-9]+", (t or "").lower())[i:] for i in range(3)))}
     want = {(e[0], t[0]) for e in rows for t in rows if e[1] in ("validation", "benchmark") and t[1] == "train" and e[0] and t[0] and e[0] != t[0] and g(e[2]) and g(t[2]) and len(g(e[2]) & g(t[2])) >= 0.6 * len(g(e[2]) | g(t[2]))}
     for shard in (30, 1 << 20):
-        got = overlap.cross_split_overlap(df, shard_bytes=shard).collect()
+        pairs, coverage = overlap.cross_split_overlap(df, shard_bytes=shard)
+        got = pairs.collect()
         assert {(r.eval_id, r.train_id) for r in got} == want and len(got) == len(want)
-    assert overlap.cross_split_overlap(df.limit(0)).count() == 0
+        cover = {r.eval_id: r.coverage for r in coverage.collect()}
+        assert set(cover) == {e for e, _ in want} and cover["v1"] == 1.0
+    assert [x.count() for x in overlap.cross_split_overlap(df.limit(0))] == [0, 0]
+
+
+def test_scan_by_shards(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randrange(1, 5)))
+    texts = [(f"t{i}", " ".join(word() for _ in range(r.randrange(0, 40)))) for i in range(200)] + [("n", None), ("e", "")]
+    patterns = [(p,) for p in sorted({f" {word()} {word()} " for _ in range(150)})]
+    want = {(k, p, i, i + len(p) - 1) for k, t in texts if t for (p,) in patterns for i in range(len(t)) if t.startswith(p, i)}
+    t, p = spark.createDataFrame(texts, "k string, t string"), spark.createDataFrame(patterns, "p string")
+    for shard in (1 << 20, 300):
+        got = automaton.scan(t, "k", "t", p, "p", shard_bytes=shard, salts=3).collect()
+        assert {(x.k, x.p, s["first"], s["last"]) for x in got for s in x.spans} == want
+        assert len({(x.k, x.p) for x in got}) == len(got)
+
+
+def test_common_lengths_are_no_limits(spark):
+    r = random.Random(5)
+    lengths = [round(r.gauss(35, 4)) for _ in range(60_000)] + [50] * 400
+    df = spark.createDataFrame([("a", "chars", False, n, True) for n in lengths], "source string, measure string, mark boolean, length int, unended boolean")
+    assert [x.length for x in truncation.limits(df).collect()] == [50]
+
+
+def test_foreign_style_is_vendored(spark):
+    r = random.Random(9)
+    words = "river stone cloud maple ember quiet north amber field grain".split()
+    snake = lambda: "\n".join(f"{r.choice(words)}_{r.choice(words)} = {r.choice(words)}_{r.choice(words)}({r.choice(words)}_{r.choice(words)})" for _ in range(30))
+    camel = lambda: "\n".join(f"{r.choice(words)}{r.choice(words).title()} = {r.choice(words)}{r.choice(words).title()}({r.choice(words)}{r.choice(words).title()})" for _ in range(30))
+    rows = [(f"f{i}", "repo", f"src/m{i}.py", "file", snake()) for i in range(30)] + [("odd", "repo", "src/odd.py", "file", camel())]
+    rows += [(f"g{i}", "other", f"src/m{i}.py", "file", camel()) for i in range(20)]
+    got = handwritten.classify(spark.createDataFrame(rows, "file_version_id string, repo string, path string, unit_type string, content string")).where("kind is not null").collect()
+    assert [(x.file_version_id, x.kind) for x in got] == [("odd", "vendored")]
 
 
 def test_classify(spark):
