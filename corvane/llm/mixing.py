@@ -24,7 +24,7 @@ def _features(text: str, buckets: int) -> np.ndarray:
     return np.stack(np.unique(ids, return_counts=True)) if len(ids) else np.zeros((2, 0), np.int64)
 
 
-def mix(docs: DataFrame, targets: DataFrame, buckets: int = 1 << 13, trust: float = 0.95, steps: int = 24, cuts: int = 26) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, buckets: int = 1 << 13, trust: float = 0.95, steps: int = 24, bins: int = 8192) -> tuple[DataFrame, DataFrame]:
     """(uses, shares). uses: doc_id, source, tokens, uses >= 1 of the drawn documents. shares: source, target_share,
     actual_share, tokens, documents.
 
@@ -33,8 +33,8 @@ def mix(docs: DataFrame, targets: DataFrame, buckets: int = 1 << 13, trust: floa
     rate for each document between 0 and its source's max_repeats, so that the expected tokens of every source meet
     their targets in least squares: a step is one pass that sums expected tokens, and the rates follow from the list of
     past gradients, so no state is kept per document. A rate is rounded up or down by the hash of doc_id; a last shift
-    per source, halved `cuts` times, brings the tokens of its labelled documents as close under the target as one
-    document allows.
+    per source, the weighted quantile that two passes find in histograms of `bins` cells, the second within a cell of
+    the first, brings the tokens of its labelled documents as close under the target as one document allows.
 
     The whole is as large as all listed documents once, or less where a source at its cap can't fill its share. Sources
     without tokens are left out, and the other shares are scaled to a sum of 1. Null and empty texts have no tokens and
@@ -95,38 +95,56 @@ def mix(docs: DataFrame, targets: DataFrame, buckets: int = 1 << 13, trust: floa
             r = np.clip(r - p @ g, 0, top)
         return r
 
-    def sums(gradients, shift=None):
-        """Expected tokens by membership, or with `shift` the tokens of rounded uses by label."""
+    def gather(run, schema, shape):
+        """Sums of what `run` makes of every partition, by cell; as many rows as the array has cells, whatever the data."""
+        out = np.zeros(shape)
+        for r in soft.select("k", "tokens", "u", "p").mapInPandas(run, schema).groupBy(*(x.split()[0] for x in schema.split(", ")[:-1])).agg(F.sum("t").alias("t")).toLocalIterator():
+            out[tuple(r)[:-1]] = r.t
+        return out
+
+    def expected(gradients):
+        """Expected tokens by membership."""
 
         def run(frames):
             total = np.zeros(len(names))
+            for f in frames:
+                if len(f):
+                    k, p, t = f["k"].to_numpy(), np.stack(f["p"]), f["tokens"].to_numpy(float)
+                    total += (rates(k, p, gradients) * t) @ p
+            yield pd.DataFrame({"k": range(len(names)), "t": total})
+
+        return gather(run, "k int, t double", len(names))
+
+    def tokens_by_shift(low, width):
+        """Tokens of each label that join in each of `bins` steps of a shift. A document's j-th use joins at j - u - r."""
+
+        def run(frames):
+            total = np.zeros((len(names), bins + 1))
             for f in frames:
                 if not len(f):
                     continue
                 k, p, t = f["k"].to_numpy(), np.stack(f["p"]), f["tokens"].to_numpy(float)
-                r = rates(k, p, gradients)
-                if shift is None:
-                    total += (r * t) @ p
-                else:
-                    total += np.bincount(k, t * np.floor(np.clip(r + shift[k], 0, cap[k]) + f["u"].to_numpy()).clip(0, cap[k]), len(names))
-            yield pd.DataFrame({"k": range(len(names)), "t": total})
+                base = -f["u"].to_numpy() - rates(k, p, gradients)
+                for j in range(1, int(cap.max()) + 1):
+                    use = j <= cap[k]
+                    at = np.clip(np.ceil((base[use] + j - low[k[use]]) / width[k[use]]), 0, bins).astype(int)
+                    np.add.at(total, (k[use], at), t[use])
+            k, b = np.nonzero(total)
+            yield pd.DataFrame({"k": k, "b": b, "t": total[k, b]})
 
-        out = np.zeros(len(names))
-        for r in soft.select("k", "tokens", "u", "p").mapInPandas(run, "k int, t double").groupBy("k").agg(F.sum("t").alias("t")).collect():
-            out[r.k] = r.t
-        return out
+        return gather(run, "k int, b int, t double", (len(names), bins + 1))
 
     gradients: list[np.ndarray] = []
     for _ in range(steps if whole else 0):
-        error = sums(gradients) - goal
+        error = expected(gradients) - goal
         if np.all(np.abs(error) <= 1e-3 * np.maximum(goal, 1)):
             break
         gradients.append(np.where(goal > 0, error / np.maximum(have, 1), cap) * 0.8)
-    low, high = -cap - 1, cap + 1
-    for _ in range(cuts if whole else 0):
-        middle = (low + high) / 2
-        fits = sums(gradients, middle) <= goal
-        low, high = np.where(fits, middle, low), np.where(fits, high, middle)
+    low, width = -cap - 1, (2 * cap + 2) / bins
+    for _ in range(2 if whole else 0):
+        upto = tokens_by_shift(low, width).cumsum(1)  # at a shift of low + b * width
+        last = np.maximum((upto <= goal[:, None]).sum(1) - 1, 0)
+        low, width = low + last * width, width / bins
 
     def draw(frames):
         for f in frames:
