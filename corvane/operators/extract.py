@@ -89,9 +89,9 @@ def extract_units(files: DataFrame, key: str = "file_version_id", path: str = "p
     return files.select(key, path, content).where(F.col(content).isNotNull()).mapInPandas(run, f"{key} {kind}, {SCHEMA}, status string")
 
 
-def chunks(df: DataFrame, key: str, text: str, size: int = 64, step: int = 48, most: int | None = 8) -> DataFrame:
-    """(key, chunk, tokens, text): overlapping windows of white-space tokens, the last one as long as the rest; at most
-    `most` of them, or with None as many as the text takes."""
+def chunks(df: DataFrame, key: str, text: str, size: int = 64, step: int = 48, most: int | None = None) -> DataFrame:
+    """(key, chunk, tokens, text): overlapping windows of white-space tokens, the last one as long as the rest; as many
+    as the text takes, or at most `most`."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
     x = df.select(key, words.alias("w")).where("size(w) > 0")
     count = F.greatest(F.lit(1), F.ceil((F.size("w") - size) / step).cast("int") + 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import query_terms, retrieval_terms
+from corvane.session import materialize
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], limit: int | None = None, out: str = "rank") -> DataFrame:
@@ -14,22 +15,25 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], limit: int | None
     return df if limit is None else df.where(F.col(out) <= limit)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): term frequencies, and each document's number of terms."""
-    terms = docs.select(key, retrieval_terms(F.col(text)).alias("t")).select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
-    return terms.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+def unit_postings(units: DataFrame, vocabulary: DataFrame, key: str = "evidence", text: str = "content") -> DataFrame:
+    """(key, length, term, tf) of the terms in the vocabulary, and one row per unit with a null term and the number of
+    all its terms, from one pass over the texts. Written once, as several aggregates read it."""
+    terms = F.concat(F.array(F.lit(None).cast("string")), F.col("t"))
+    x = units.select(key, retrieval_terms(F.col(text)).alias("t")).select(key, F.size("t").alias("length"), F.explode(terms).alias("term"))
+    x = x.join(vocabulary.select("term").distinct().withColumn("_in", F.lit(True)), "term", "left")
+    return materialize(x.groupBy(key, "length", F.when(F.col("_in"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")), "postings")
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, limit: int = 10, k1: float = 1.2, b: float = 0.75, terms: int = 12) -> DataFrame:
     """(query, key, score, rank): the `limit` best documents of each query.
 
-    Queries are their `terms` longest distinct terms. Postings are restricted to terms that a query holds before they
-    are counted or shuffled; the number of documents and the mean length are one aggregate. Score ties go by key."""
+    Queries are their `terms` longest distinct terms, as in the reference's index search. Texts are read and tokenised
+    once: the postings that are written hold the terms that a query asks for and every document's length, and term
+    frequencies, document frequencies, the number of documents and the mean length come from them. Score ties go by key."""
     asked = queries.select(query, F.explode(query_terms(F.col(query_text), terms)).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    p = postings(docs, key, text)
-    stats = docs.select(F.size(retrieval_terms(F.col(text))).alias("n")).agg(F.count("*").alias("docs"), F.coalesce(F.nullif(F.avg("n"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
-    own = p.join(vocabulary, "term", "left_semi")
+    p = unit_postings(docs, asked, key, text)
+    stats = p.where("term is null").agg(F.count("*").alias("docs"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
+    own = p.where("term is not null")
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
@@ -58,23 +62,20 @@ def rrf_protected(rankings: DataFrame, query: str, channel: str, item: str, pos:
     return ranked(kept.drop("_head", "_keep"), [query], [F.col("score").desc(), F.col("best_rank"), F.col(item)])
 
 
-def overlap_scores(units: DataFrame, key: str, text: Column, queries: DataFrame, query: str, query_text: str, limit: int = 64) -> DataFrame:
-    """(query, key, score, rank): number of distinct terms that a unit's path or symbol shares with the query."""
-    own = units.select(key, F.explode(F.array_distinct(retrieval_terms(text))).alias("term"))
-    asked = queries.select(query, F.explode(query_terms(F.col(query_text))).alias("term"))
-    return ranked(asked.join(own, "term").groupBy(query, key).agg(F.count("*").alias("score")), [query], [F.col("score").desc(), F.col(key)], limit)
-
+def _unit(vectors):
+    import numpy as np
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    m = np.array(list(vectors), dtype=float).reshape(len(vectors), -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, 1, norm)
 
 
-def dense_topk(base: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, limit: int = 10, block: int = 512) -> DataFrame:
-    """(query, key, score, rank): exact cosine search of the given query set against all rows.
+def _cosines(base: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, keep, block: int, chunk: int) -> DataFrame:
+    """(query, key, score): what `keep` makes of the matrix of scores of each batch of rows.
 
-    The queries are matched in blocks: each block of at most `block` query vectors becomes one matrix, and every Arrow
-    batch of the base is multiplied with it, keeping the batch's `limit` best per query; so a row never meets a query
-    as a pair in the JVM, and the shuffle carries candidates only. Zero and null vectors have no matches."""
+    Up to `block` query vectors are one matrix that is broadcast, and rows are not shuffled. More are hashed into blocks
+    of about that size and the rows into chunks of about `chunk`; a task streams a chunk past a block, so neither the
+    driver nor a task ever holds more than a block of queries, and a row never meets a query as a pair in the JVM."""
     import numpy as np
     import pandas as pd
 
@@ -82,29 +83,82 @@ def dense_topk(base: DataFrame, key: str, vector: str, queries: DataFrame, query
 
     spark = base.sparkSession
     ship(spark)
-    kinds = f"{query} {queries.schema[query].dataType.simpleString()}, {key} {base.schema[key].dataType.simpleString()}, score double"
-    rows = base.select(key, vector).where(F.col(vector).isNotNull())
-    numbered = queries.select(query, query_vector).where(F.col(query_vector).isNotNull())
-    n = numbered.count()
-    out = None
-    for k in range(max(1, -(-n // block))):
-        part = numbered.where(F.pmod(F.xxhash64(query), F.lit(max(1, -(-n // block)))) == k).toPandas()
-        q = np.array(part[query_vector].tolist(), dtype=float).reshape(len(part), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        ids = part[query].tolist()
-
-        def run(frames, q=q, ids=ids):
+    q_kind, r_kind = queries.schema[query].dataType, base.schema[key].dataType
+    kinds = f"{query} {q_kind.simpleString()}, {key} {r_kind.simpleString()}, score double"
+    rows = base.select(F.col(key).alias("r"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and r is not null")
+    asked = queries.select(F.col(query).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v is not null and q is not null")
+    n = asked.count()
+
+    def scores(ids, q, part):
+        at, keys, values = keep(np.round(q @ _unit(part["v"]).T, 6), part["r"].to_numpy())
+        return pd.DataFrame({query: [ids[i] for i in at], key: keys, "score": values})
+
+    if n <= block:
+        held = asked.toPandas()
+        shared = spark.sparkContext.broadcast((held["q"].tolist(), _unit(held["v"]) if len(held) else None))
+
+        def run(frames):
+            ids, q = shared.value
             for f in frames:
-                if not len(f) or not len(ids):
-                    continue
-                m = np.array(f[vector].tolist(), dtype=float)
-                norm = np.linalg.norm(m, axis=1, keepdims=True)
-                s = np.round(q @ (m / np.where(norm == 0, 1, norm)).T, 6)
-                order = np.lexsort((np.broadcast_to(f[key].rank(method="first").to_numpy(), s.shape), -s), axis=1)[:, :limit]
-                w = order.shape[1]
-                keys = f[key].to_numpy()
-                yield pd.DataFrame({query: np.repeat(ids, w), key: keys[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
-
-        hits = rows.mapInPandas(run, kinds)
-        out = hits if out is None else out.unionByName(hits)
-    return ranked(out, [query], [F.col("score").desc(), F.col(key)], limit)
+                if len(f) and len(ids):
+                    yield scores(ids, q, f)
+
+        return rows.mapInPandas(run, kinds)
+    blocks, chunks = -(-n // block), max(1, -(-rows.count() // chunk))
+    many = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = asked.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("b"), many(chunks).alias("c"), F.lit(False).alias("is_row"), "q", F.lit(None).cast(r_kind).alias("r"), "v")
+    z = rows.select(many(blocks).alias("b"), F.pmod(F.xxhash64("r"), F.lit(chunks)).cast("int").alias("c"), F.lit(True).alias("is_row"), F.lit(None).cast(q_kind).alias("q"), "r", "v")
+    both = a.unionByName(z).repartition("b", "c").sortWithinPartitions("b", "c", "is_row")
+
+    def stream(batches):
+        at, ids, vectors, q = None, [], [], None
+        for batch in batches:
+            b, c, is_row, qs, rs, vs = (x.to_pylist() for x in batch.columns)
+            first = 0
+            while first < len(b):
+                last = first
+                while last < len(b) and (b[last], c[last], is_row[last]) == (b[first], c[first], is_row[first]):
+                    last += 1
+                if (b[first], c[first]) != at:
+                    at, ids, vectors, q = (b[first], c[first]), [], [], None
+                if not is_row[first]:
+                    ids += qs[first:last]
+                    vectors += vs[first:last]
+                elif ids:
+                    q = _unit(vectors) if q is None else q
+                    out = scores(ids, q, pd.DataFrame({"r": rs[first:last], "v": vs[first:last]}))
+                    yield pa.RecordBatch.from_pydict({query: pa.array(out[query].tolist()), key: pa.array(out[key].tolist()), "score": pa.array(out["score"])})
+                first = last
+
+    import pyarrow as pa
+
+    return both.select("b", "c", "is_row", "q", "r", "v").mapInArrow(stream, kinds)
+
+
+def dense_topk(base: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, limit: int = 10, block: int = 4096, chunk: int = 50_000) -> DataFrame:
+    """(query, key, score, rank): exact cosine search of the given query set against all rows. A batch of rows keeps its
+    `limit` best per query, so the last shuffle carries candidates only. Null vectors have no matches; a zero vector
+    scores 0."""
+    import numpy as np
+
+    def keep(s, keys):
+        place = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
+        order = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, :limit]
+        return np.repeat(np.arange(len(s)), order.shape[1]), keys[order.ravel()], np.take_along_axis(s, order, 1).ravel()
+
+    hits = _cosines(base, key, vector, queries, query, query_vector, keep, block, chunk)
+    return ranked(hits, [query], [F.col("score").desc(), F.col(key)], limit)
+
+
+def dense_groups(base: DataFrame, group: str, vector: str, queries: DataFrame, query: str, query_vector: str, block: int = 4096, chunk: int = 50_000) -> DataFrame:
+    """(query, group, score): the best cosine of a group's vectors, as a file scores by its best chunk."""
+    import numpy as np
+
+    def keep(s, keys):
+        order = np.argsort(keys, kind="stable")
+        names, first = np.unique(keys[order], return_index=True)
+        best = np.maximum.reduceat(s[:, order], first, axis=1)
+        return np.repeat(np.arange(len(s)), len(names)), np.tile(names, len(s)), best.ravel()
+
+    hits = _cosines(base, group, vector, queries, query, query_vector, keep, block, chunk)
+    return hits.groupBy(query, group).agg(F.max("score").alias("score"))

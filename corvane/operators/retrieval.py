@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.intervals import overlap_join
 from corvane.operators.ranking import ranked, rrf
 from corvane.session import materialize
 
@@ -18,18 +19,25 @@ def shortlist(path_hits: DataFrame, content_hits: DataFrame, query: str, item: s
 
 
 def adapt_outputs(outputs: DataFrame, units: DataFrame) -> DataFrame:
-    """(task_id, evidence_id, source_rank): the units that outputs name. An output has task_id, source_rank and some of
-    evidence_id, path, symbol, start_line and end_line; it names the unit of its id, else the path's units with its
-    symbol, else those that its span meets, else the path's units. A unit counts at its first output."""
+    """(task_id, evidence_id, source_rank): the units that outputs name, within each task's own units that may be scored.
+
+    An output has task_id, source_rank and some of evidence_id, path, symbol, start_line and end_line; it names the unit
+    of its id, else the path's units with its symbol as symbol or qualified name, else those that its span meets, else
+    the path's units. A unit counts at its first output. `units` has task_id, evidence_id, path, symbol, qualified_name,
+    start_line, end_line, scoreable; null scoreable counts as true."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
     o = outputs.select("task_id", "source_rank", F.col("evidence_id").alias("o_id"), F.col("path").alias("o_path"), F.col("symbol").alias("o_symbol"), F.col("start_line").alias("o_start"), F.col("end_line").alias("o_end"))
-    u = units.select("evidence_id", "path", "symbol", "start_line", "end_line")
-    by_id = o.join(u, F.col("o_id") == F.col("evidence_id")).select("task_id", "source_rank", "evidence_id")
-    rest = o.where("o_id is null").join(u, F.col("o_path") == F.col("path"))
-    symbol = rest.where(F.col("o_symbol").isNotNull() & ((F.col("symbol") == F.col("o_symbol")) | F.col("symbol").endswith(F.concat(F.lit("."), F.col("o_symbol")))))
-    span = rest.where("o_symbol is null and o_start is not null and start_line <= o_end and o_start <= end_line")
-    whole = rest.where("o_symbol is null and o_start is null")
+    u = units.where(F.coalesce("scoreable", F.lit(True))).select("task_id", "evidence_id", "path", "symbol", "qualified_name", "start_line", "end_line")
+    by_id = o.where(filled("o_id")).join(u.select("task_id", F.col("evidence_id").alias("o_id")), ["task_id", "o_id"], "left_semi").select("task_id", "source_rank", F.col("o_id").alias("evidence_id"))
+    rest = o.where(~filled("o_id")).withColumnRenamed("o_path", "path")
+    names = u.select("task_id", "path", "evidence_id", F.explode(F.array_distinct(F.array_compact(F.array("symbol", "qualified_name")))).alias("o_symbol"))
+    symbol = rest.where(filled("o_symbol")).join(names, ["task_id", "path", "o_symbol"])
+    whole = rest.where(~filled("o_symbol"))
+    spanned = F.col("o_start").isNotNull() & F.col("o_end").isNotNull()
+    span = overlap_join(whole.where(spanned), u.drop("symbol", "qualified_name"), ["task_id", "path"], "o_start", "o_end", "start_line", "end_line")
+    path = whole.where(~spanned).join(u.select("task_id", "path", "evidence_id"), ["task_id", "path"])
     every = by_id
-    for part in (symbol, span, whole):
+    for part in (symbol, span, path):
         every = every.unionByName(part.select("task_id", "source_rank", "evidence_id"))
     return every.groupBy("task_id", "evidence_id").agg(F.min("source_rank").alias("source_rank"))
 

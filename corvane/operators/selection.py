@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import ship
+from corvane.session import materialize, ship
 
 
-def gains(witness: DataFrame, selected: DataFrame, task: str, obligation: str, group: str, evidence: str) -> DataFrame:
-    """(task, evidence, gain, progress): what each unselected witness would add to completion and to mean progress.
+def gains(witness: DataFrame, selected: DataFrame, task: str, obligation: str, group: str, evidence: str, mandatory: str | None = None) -> DataFrame:
+    """(task, evidence, gain, progress): what each unselected witness would add to completion, the met share of the
+    mandatory obligations (all, where no column tells; null where there is none), and to mean progress over all.
 
     A group that lacks one piece completes with it; progress is the rise of the obligation's best share. All relational:
     one aggregate of the groups, one join back to their missing pieces."""
     keys = [task, evidence] if task in selected.columns else [evidence]
-    w = witness.select(task, obligation, group, evidence).distinct().join(selected.select(*keys).distinct().withColumn("_h", F.lit(1)), keys, "left")
-    g = w.groupBy(task, obligation, group).agg(F.count("*").alias("_n"), F.count("_h").alias("_k"))
-    o = g.groupBy(task, obligation).agg(F.max(F.col("_k") / F.col("_n")).alias("_best"))
-    total = o.groupBy(task).agg(F.count("*").alias("_all"))
-    miss = w.where("_h is null").join(g, [task, obligation, group]).join(o, [task, obligation])
-    after = miss.groupBy(task, evidence, obligation, "_best").agg(F.max((F.col("_k") + 1) / F.col("_n")).alias("_after"))
+    must = F.coalesce(F.col(mandatory), F.lit(False)) if mandatory else F.lit(True)
+    w = witness.select(task, obligation, must.alias("_must"), group, evidence).distinct().join(selected.select(*keys).distinct().withColumn("_h", F.lit(1)), keys, "left")
+    g = w.groupBy(task, obligation, group).agg(F.count("*").alias("_n"), F.count("_h").alias("_k"), F.max("_must").alias("_must"))
+    o = g.groupBy(task, obligation).agg(F.max(F.col("_k") / F.col("_n")).alias("_best"), F.max("_must").alias("_must"))
+    total = o.groupBy(task).agg(F.count("*").alias("_all"), F.count_if("_must").alias("_due"))
+    miss = w.where("_h is null").drop("_must").join(g.drop("_must"), [task, obligation, group]).join(o, [task, obligation])
+    after = miss.groupBy(task, evidence, obligation, "_best", "_must").agg(F.max((F.col("_k") + 1) / F.col("_n")).alias("_after"))
     rise = F.greatest(F.col("_after") - F.col("_best"), F.lit(0.0))
-    done = ((F.col("_after") >= 1 - 1e-9) & (F.col("_best") < 1 - 1e-9)).cast("int")
-    return after.join(total, task).groupBy(task, evidence, "_all").agg(F.sum(done).alias("_c"), F.sum(rise).alias("_p")).select(
-        task, evidence, F.round(F.col("_c") / F.col("_all"), 6).alias("gain"), F.round(F.col("_p") / F.col("_all"), 6).alias("progress"))
+    done = (F.col("_must") & (F.col("_after") >= 1 - 1e-9) & (F.col("_best") < 1 - 1e-9)).cast("int")
+    return after.join(total, task).groupBy(task, evidence, "_all", "_due").agg(F.sum(done).alias("_c"), F.sum(rise).alias("_p")).select(
+        task, evidence, F.round(F.col("_c") / F.nullif("_due", F.lit(0)), 6).alias("gain"), F.round(F.col("_p") / F.col("_all"), 6).alias("progress"))
 
 
 def interactions(ordered: DataFrame, witness: DataFrame, task: str, obligation: str, group: str, evidence: str, pos: str) -> DataFrame:
@@ -62,21 +66,30 @@ def interactions(ordered: DataFrame, witness: DataFrame, task: str, obligation:
     return taken.join(asked, task, "left").select(task, run("taken", "asked").alias("x")).select(task, "x.*")
 
 
-def quota_select(candidates: DataFrame, task: str, item: str, file: str, category: str, start: str, end: str, priority: list[Column], limit: int = 24, per_file: int = 4, quotas: dict[str, int] | None = None, overlap: float = 0.65) -> DataFrame:
-    """(task, item, place): candidates in priority order, each taken unless its file or category is full, or it overlaps
-    a taken one of its file by `overlap` of the shorter."""
+def quota_select(candidates: DataFrame, task: str, item: str, file: str, category: str, start: str, end: str, priority: list[Column], limit: int = 24, per_file: int = 4, quotas: dict[str, int] | None = None, overlap: float = 0.65, page: int = 512) -> DataFrame:
+    """(task, item, place): candidates in the ascending order of `priority` and item, each taken unless its file or
+    category is full, or it overlaps a taken one of its file by `overlap` of the shorter.
+
+    The walk goes by pages: a round ranks, for every task that isn't full, the next `page` candidates beyond the last
+    key seen, which Spark prunes before the shuffle, and goes on from the task's state. So no task's candidates are ever
+    in one row, and tasks that fill early cost one round. The rounds end when no task has a page left."""
     ship(candidates.sparkSession)
     quotas = quotas or {}
     kind = candidates.schema[item].dataType.simpleString()
-    rank = F.row_number().over(Window.partitionBy(task).orderBy(*priority, F.col(item)))
-    row = F.struct(F.col("_r"), F.col(item).alias("i"), F.col(file).cast("string").alias("f"), F.col(category).cast("string").alias("c"), F.col(start).cast("int").alias("a"), F.col(end).cast("int").alias("b"))
-    rows = candidates.withColumn("_r", rank).groupBy(task).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-
-    @F.udf(f"array<struct<item:{kind},place:int>>", useArrow=True)
-    def run(rows):
-        out: list = []
+    keys = [p.alias(f"k{i}") for i, p in enumerate(priority)] + [F.col(item).alias("i")]
+    pool = candidates.where(F.col(item).isNotNull()).select(
+        task, F.struct(*keys).alias("k"), F.col(item).alias("i"), F.col(file).cast("string").alias("f"), F.col(category).cast("string").alias("c"), F.col(start).cast("int").alias("a"), F.col(end).cast("int").alias("b"))
+    pool = materialize(pool, "pool")
+    taken_kind = f"array<struct<i:{kind},f:string,c:string,a:int,b:int>>"
+
+    @F.udf(taken_kind, useArrow=True)
+    def run(before, rows):
+        out = [tuple(x[k] for k in "ifcab") for x in before or []]
         files: dict = {}
         used: dict = {}
+        for _, f, c, a, b in out:
+            files.setdefault(f, []).append((a, b))
+            used[c] = used.get(c, 0) + 1
         for r in rows:
             if len(out) >= limit:
                 break
@@ -88,10 +101,29 @@ def quota_select(candidates: DataFrame, task: str, item: str, file: str, categor
                 continue
             own.append((r["a"], r["b"]))
             used[r["c"]] = used.get(r["c"], 0) + 1
-            out.append((r["i"], len(out) + 1))
+            out.append((r["i"], r["f"], r["c"], r["a"], r["b"]))
         return out
 
-    return rows.select(task, F.explode(run("rows")).alias("x")).select(task, F.col("x.item").alias(item), F.col("x.place").alias("place"))
+    def step(rows: DataFrame, state: DataFrame | None) -> DataFrame:
+        if state is not None:
+            rows = rows.join(state.where("open").select(task, "taken", "last"), task).where(F.col("k") > F.col("last"))
+        else:
+            rows = rows.withColumn("taken", F.lit(None).cast(taken_kind))
+        top = rows.withColumn("r", F.row_number().over(Window.partitionBy(task).orderBy("k"))).where(F.col("r") <= page)
+        got = top.groupBy(task).agg(F.array_sort(F.collect_list(F.struct("r", "i", "f", "c", "a", "b"))).alias("rows"), F.first("taken").alias("taken"), F.max("k").alias("last"))
+        got = got.select(task, run("taken", "rows").alias("taken"), "last", (F.size("rows") == page).alias("more"))
+        return materialize(got.select(task, "taken", "last", (F.col("more") & (F.size("taken") < limit)).alias("open")), "taken")
+
+    state = step(pool, None)
+    done = [state.where("not open").select(task, "taken")]
+    while not state.where("open").isEmpty():
+        ahead = step(pool, state)
+        # A task with no page left ends with what it has.
+        done.append(state.where("open").join(ahead.select(task), task, "left_anti").select(task, "taken"))
+        done.append(ahead.where("not open").select(task, "taken"))
+        state = ahead
+    every = reduce(DataFrame.unionByName, done)
+    return every.select(task, F.posexplode("taken").alias("p", "x")).select(task, F.col("x.i").alias(item), (F.col("p") + 1).alias("place"))
 
 
 def fitting_bodies(items: Column, room: int) -> Column:

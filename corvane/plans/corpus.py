@@ -10,7 +10,10 @@ from corvane.plans.registry import query
 from corvane.plans.views import TASKS_SQL, UNITS_SQL, tasks, units
 from corvane.sources.tables import table
 
-SPLIT = "list_filter(list_transform(regexp_extract_all(replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '[A-Za-z][A-Za-z0-9]+'), lambda w: lower(w)), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "))"
+# The words are written out here again, so that the SQL does not depend on the engine's own list.
+_STOP = "the and for with from that this when then into does not are was were have has should error issue bug fix using use return python"
+SPLIT = "list_filter(list_transform(regexp_extract_all(replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '[A-Za-z][A-Za-z0-9]+'), lambda w: lower(w)), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in _STOP.split()) + "))"
+MENTION_SQL = "([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\\.(?:pyi|py|tsx|ts|jsx|js|java|go|rst|rs|cpp|cc|c|hpp|h|rb|php|cs|scala|kts|kt|toml|yaml|yml|json|ini|cfg|md))"
 _AT_SPANS = f"WITH {UNITS_SQL}, s AS (SELECT file_version_id, start_line AS a, end_line AS b, evidence_id, unit_type FROM units), f AS (SELECT file_version_id, min(start_line) AS first, max(end_line) AS last FROM units WHERE unit_type = 'file' GROUP BY 1)"
 
 
@@ -82,22 +85,27 @@ def structural_edges(spark, d):
 
 
 @query(f"""
-WITH {UNITS_SQL}, u AS (SELECT evidence_id AS id, file_version_id AS f, parent_evidence_id AS up, start_line AS at, unit_type FROM units),
-s AS (SELECT * FROM u WHERE unit_type = 'class'),
-w AS (SELECT s.id AS seed, u.id, 4.0 AS w FROM s JOIN u ON s.up = u.id UNION ALL SELECT s.id, u.id, 3.0 FROM s JOIN u ON u.up = s.id UNION ALL SELECT s.id, u.id, 2.0 FROM s JOIN u ON u.up = s.up AND u.id <> s.id
-UNION ALL SELECT seed, id, 1.0 / (1 + far) FROM (SELECT s.id AS seed, u.id AS id, abs(u.at - s.at) AS far, row_number() OVER (PARTITION BY s.id ORDER BY abs(u.at - s.at), u.id) AS n FROM s JOIN u ON u.f = s.f AND u.id <> s.id) WHERE n <= 8)
-SELECT seed, id AS evidence_id, round(sum(w)::DOUBLE, 6) AS score FROM w GROUP BY ALL
+WITH {UNITS_SQL}, u AS (SELECT evidence_id AS id, file_version_id AS f, parent_evidence_id AS up, start_line AS at FROM units),
+i AS (SELECT DISTINCT repo, file_version_id AS importer, replace(unnest(regexp_extract_all(content, '(?m)^(?:from|import) ([a-z_0-9]+(?:\\.[a-z_0-9]+)*)', 1)), '.', '/') AS module FROM units WHERE unit_type = 'file' AND ends_with(path, '.py')),
+l AS (SELECT DISTINCT importer, f.file_version_id AS imported FROM i JOIN file_versions f ON f.repo = i.repo AND (f.path = module || '.py' OR ends_with(f.path, '/' || module || '.py') OR f.path = module || '/__init__.py' OR ends_with(f.path, '/' || module || '/__init__.py'))),
+w AS (SELECT s.id AS seed, u.id, 4.0 AS w, 'parent' AS r FROM u s JOIN u ON s.up = u.id UNION ALL SELECT s.id, u.id, 3.0, 'child' FROM u s JOIN u ON u.up = s.id UNION ALL SELECT s.id, u.id, 2.0, 'sibling' FROM u s JOIN u ON u.up = s.up AND u.id <> s.id
+UNION ALL SELECT seed, id, 1.0 / (1 + far), 'same_file' FROM (SELECT s.id AS seed, u.id AS id, abs(u.at - s.at) AS far, row_number() OVER (PARTITION BY s.id ORDER BY abs(u.at - s.at), u.id) AS n FROM u s JOIN u ON u.f = s.f AND u.id <> s.id) WHERE n <= 8
+UNION ALL SELECT s.id, x.id, 2.5, 'import' FROM u s JOIN l ON l.importer = s.f JOIN (SELECT f, id, row_number() OVER (PARTITION BY f ORDER BY u.at, u.id) AS n FROM u) x ON x.f = l.imported AND n <= 4 WHERE x.id <> s.id)
+SELECT seed, id AS evidence_id, round(sum(w)::DOUBLE, 6) AS score, array_to_string(list_sort(list_distinct(list(r))), '+') AS relations FROM w GROUP BY ALL
 """)
 def one_hop_expansion(spark, d):
-    u = units(spark, d, "file_version_id", "parent_evidence_id", "start_line", "unit_type")
-    return graph.expand(u.where("unit_type = 'class'"), u)
+    """What every unit reaches in one hop, imports among it."""
+    from corvane.plans.pipelines import import_resolution
 
+    u = units(spark, d, "file_version_id", "parent_evidence_id", "start_line")
+    return graph.expand(u, u, import_resolution(spark, d))
 
-@query(f"WITH {UNITS_SQL}, t AS (SELECT unnest({SPLIT.format('content')}) AS term, evidence_id FROM units WHERE unit_type = 'function') SELECT term, count(*) AS uses, count(DISTINCT evidence_id) AS units FROM t GROUP BY term HAVING count(DISTINCT evidence_id) >= 3")
+
+@query(f"WITH {UNITS_SQL}, t AS (SELECT unnest({SPLIT.format('content')}) AS term, evidence_id FROM units) SELECT term, count(*) AS uses, count(DISTINCT evidence_id) AS units FROM t GROUP BY term")
 def term_statistics(spark, d):
-    u = units(spark, d, "unit_type", "content").where("unit_type = 'function'")
+    u = units(spark, d, "content")
     t = u.select("evidence_id", F.explode(T.retrieval_terms(F.col("content"))).alias("term")).groupBy("term", "evidence_id").agg(F.count("*").alias("n"))
-    return t.groupBy("term").agg(F.sum("n").alias("uses"), F.count("*").alias("units")).where("units >= 3")
+    return t.groupBy("term").agg(F.sum("n").alias("uses"), F.count("*").alias("units"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda w: lower(w)))), ' ') AS terms FROM documents")
@@ -106,25 +114,37 @@ def light_terms(spark, d):
 
 
 @query("""
-SELECT CASE WHEN regexp_matches(lower(path), '(?:^|/)(?:tests?|testing|__tests__|spec)/|(?:^|/)test_[^/]*$|_test\\.[a-z]+$') THEN 'test' WHEN regexp_matches(lower(path), '(?:^|/)docs?/|\\.(?:md|rst|txt)$') THEN 'doc'
-WHEN regexp_matches(lower(path), '\\.(?:json|ya?ml|toml|ini|cfg|xml|properties|env)$') THEN 'resource' WHEN regexp_matches(lower(path), '(?:^|/)(?:vendor|third_party|node_modules|dist|build)/|\\.min\\.[a-z]+$') THEN 'low_value' ELSE 'source' END AS category,
-coalesce(language, 'unknown') AS language, count(*) AS files FROM file_versions GROUP BY ALL
+WITH p AS (SELECT '/' || lower(path) AS p, regexp_extract(lower(path), '[^/]*$') AS name, language FROM file_versions), x AS (SELECT *, regexp_replace(name, '(.)[.][^.]+$', '\\1') AS stem, regexp_extract(name, '.[.]([^.]+)$', 1) AS ext FROM p)
+SELECT CASE WHEN regexp_matches(p, '/(fixtures?|test_data|testdata)/') THEN 'low_value' WHEN regexp_matches(p, '/(tests?|testing)/') OR starts_with(name, 'test_') OR ends_with(name, '_test.py') OR name = 'conftest.py' THEN 'test'
+WHEN stem IN ('readme', 'contributing', 'changelog', 'changes', 'authors', 'license') OR regexp_matches(p, '/(whatsnew|changelog|changes)/') THEN 'low_value' WHEN regexp_matches(p, '/(docs?|documentation)/') OR ext IN ('md', 'markdown', 'rst', 'txt') THEN 'doc'
+WHEN ext IN ('csv', 'tsv', 'json', 'yaml', 'yml', 'xml', 'npy', 'npz', 'pkl', 'pickle', 'parquet', 'h5', 'hdf5', 'mat', 'dat', 'bin', 'geojson', 'png', 'jpg', 'jpeg', 'gif', 'svg', 'webp') THEN 'resource' ELSE 'source' END AS category,
+coalesce(language, 'unknown') AS language, count(*) AS files FROM x GROUP BY ALL
 """)
 def path_categories(spark, d):
     return table(spark, d, "file_versions").groupBy(T.path_category(F.col("path")).alias("category"), F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.count("*").alias("files"))
 
 
+@query("""
+SELECT CASE regexp_extract(lower(path), '[^/][.]([^./]+)$', 1) WHEN 'py' THEN 'python' WHEN 'pyi' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'mjs' THEN 'javascript' WHEN 'cjs' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript'
+WHEN 'java' THEN 'java' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'c' THEN 'c' WHEN 'h' THEN 'c' WHEN 'cc' THEN 'cpp' WHEN 'cpp' THEN 'cpp' WHEN 'cxx' THEN 'cpp' WHEN 'hpp' THEN 'cpp' WHEN 'cs' THEN 'csharp' WHEN 'rb' THEN 'ruby' WHEN 'php' THEN 'php' WHEN 'swift' THEN 'swift'
+WHEN 'kt' THEN 'kotlin' WHEN 'kts' THEN 'kotlin' WHEN 'scala' THEN 'scala' WHEN 'sh' THEN 'shell' WHEN 'bash' THEN 'shell' WHEN 'md' THEN 'markdown' WHEN 'rst' THEN 'rst' WHEN 'toml' THEN 'toml' WHEN 'yaml' THEN 'yaml' WHEN 'yml' THEN 'yaml' WHEN 'json' THEN 'json' WHEN 'xml' THEN 'xml'
+WHEN 'html' THEN 'html' WHEN 'css' THEN 'css' WHEN 'sql' THEN 'sql' ELSE 'text' END AS language, count(*) AS files FROM file_versions GROUP BY ALL
+""")
+def languages(spark, d):
+    return table(spark, d, "file_versions").groupBy(T.language_of(F.col("path")).alias("language")).agg(F.count("*").alias("files"))
+
+
 @query(f"""
-WITH {TASKS_SQL}, q AS (SELECT task_id, snapshot_id, unnest(list_distinct(regexp_extract_all(coalesce(problem_statement, ''), '([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\\.[a-z]{{1,5}})\\b', 1))) AS path FROM tasks)
-SELECT DISTINCT task_id, q.path, m.file_version_id FROM q JOIN snapshot_membership m USING (snapshot_id) WHERE m.path = q.path OR ends_with(m.path, '/' || q.path)
+WITH {TASKS_SQL}, q AS (SELECT DISTINCT task_id, snapshot_id, unnest(regexp_extract_all(coalesce(problem_statement, ''), '{MENTION_SQL}', 1)) AS path FROM tasks)
+SELECT DISTINCT task_id, q.path, m.file_version_id FROM q JOIN snapshot_membership m USING (snapshot_id) WHERE lower(m.path) = lower(q.path) OR ends_with(lower(m.path), '/' || lower(q.path))
 """)
 def mentioned_files(spark, d):
     """Files of a task's snapshot that its statement names by whole path or by a path's end, as equi-joins on ends."""
     q = tasks(spark, d, "snapshot_id", "problem_statement").select("task_id", "snapshot_id", F.explode(T.path_mentions(F.col("problem_statement"))).alias("path"))
-    parts = F.split("path", "/")
+    parts = F.split(F.lower("path"), "/")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
-    m = table(spark, d, "snapshot_membership").select("snapshot_id", "file_version_id", F.explode(ends).alias("path")).distinct()
-    return q.join(m, ["snapshot_id", "path"]).select("task_id", "path", "file_version_id").distinct()
+    m = table(spark, d, "snapshot_membership").select("snapshot_id", "file_version_id", F.explode(ends).alias("end")).distinct()
+    return q.withColumn("end", F.lower("path")).join(m, ["snapshot_id", "end"]).select("task_id", "path", "file_version_id").distinct()
 
 
 @query(f"WITH {TASKS_SQL} SELECT task_id, split, concat_ws(chr(10), coalesce(problem_statement, ''), CASE WHEN len(list_filter(coalesce(hints, []), lambda h: trim(h) <> '')) > 0 THEN array_to_string(list_filter(hints, lambda h: trim(h) <> ''), chr(10)) END) AS question FROM tasks")
@@ -134,14 +154,14 @@ def online_questions(spark, d):
 
 @query(f"""
 WITH {UNITS_SQL}, f AS (SELECT file_version_id, string_split(content, chr(10)) AS ls FROM units WHERE unit_type = 'file')
-SELECT u.evidence_id, array_to_string(list_slice(ls, start_line, end_line), chr(10)) = content AS same FROM units u JOIN f USING (file_version_id) WHERE u.unit_type = 'method' AND start_line >= 1 AND end_line >= start_line AND end_line <= len(ls)
+SELECT u.evidence_id, array_to_string(list_slice(ls, start_line, end_line), chr(10)) = content AS same FROM units u JOIN f USING (file_version_id) WHERE start_line >= 1 AND end_line >= start_line AND end_line <= len(ls)
 """)
 def body_reconstruction(spark, d):
-    """Whether a method's content is what its line range cuts out of the file."""
+    """Whether a unit's content is what its line range cuts out of the file."""
     u = units(spark, d, "file_version_id", "unit_type", "start_line", "end_line", "content")
-    f = u.where("unit_type = 'file'").select("file_version_id", F.split("content", "\n").alias("ls"))
-    m = u.where("unit_type = 'method'").join(f, "file_version_id").where("start_line >= 1 and end_line >= start_line and end_line <= size(ls)")
-    return m.select("evidence_id", (F.array_join(F.slice("ls", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n") == F.col("content")).alias("same"))
+    f = u.where("unit_type = 'file'").select("file_version_id", F.col("content").alias("text"))
+    cut = T.line_slice(F.col("text"), F.col("start_line"), F.col("end_line"))
+    return u.join(f, "file_version_id").where(cut.isNotNull()).select("evidence_id", (cut == F.col("content")).alias("same"))
 
 
 @query(f"WITH {UNITS_SQL} SELECT repo, unit_type, count(*) AS units, sum(end_line - start_line + 1)::BIGINT AS lines, round(avg(length(content)), 6) AS mean_chars, count(CASE WHEN scoreable THEN 1 END) AS scoreable FROM units GROUP BY ALL")

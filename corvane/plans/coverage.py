@@ -51,19 +51,12 @@ def missing_mandatory(spark, d):
 
 
 @query("""
-WITH w AS (SELECT DISTINCT l_suppkey % 50 AS obligation, l_orderkey AS grp, l_partkey % 7 AS evidence FROM lineitem WHERE l_linenumber <= 2 AND l_suppkey % 50 < 10),
+WITH w AS (SELECT DISTINCT l_suppkey % 50 AS obligation, l_orderkey AS grp, l_partkey % 7 AS evidence FROM lineitem),
 n AS (SELECT obligation, grp, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT a.obligation, a.grp AS g, b.grp AS h, count(*) AS s FROM w a JOIN w b ON a.obligation = b.obligation AND a.evidence = b.evidence AND a.grp <> b.grp GROUP BY ALL),
 f AS (SELECT s.obligation, s.g, bool_or(s = y.n AND y.n < x.n) AS contains, bool_or(s = y.n AND y.n = x.n AND h < s.g) AS same FROM s JOIN n x ON x.obligation = s.obligation AND x.grp = s.g JOIN n y ON y.obligation = s.obligation AND y.grp = s.h GROUP BY ALL)
 SELECT n.obligation, n.grp, NOT coalesce(contains, false) AS minimal, coalesce(same, false) AS duplicate FROM n LEFT JOIN f ON n.obligation = f.obligation AND n.grp = f.g
 """)
 def minimal_groups(spark, d):
-    w = table(spark, d, "lineitem").where("l_linenumber <= 2 and l_suppkey % 50 < 10").selectExpr("l_suppkey % 50 as obligation", "l_orderkey as grp", "l_partkey % 7 as evidence").distinct()
-    return C.minimal_groups(w, "obligation", "grp", "evidence")
-
-
-@query()
-def minimal_groups_whole(spark, d):
-    """minimal_groups over every line of every supplier. No SQL: its form meets all pairs of groups."""
     w = table(spark, d, "lineitem").selectExpr("l_suppkey % 50 as obligation", "l_orderkey as grp", "l_partkey % 7 as evidence").distinct()
     return C.minimal_groups(w, "obligation", "grp", "evidence")
 
@@ -95,23 +88,48 @@ def pareto_front(spark, d):
     return x.withColumn("best", below).where("best.size = size and -best.p = price").select("task", "id")
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT l_orderkey, l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id, l_quantity::BIGINT AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey || '-' || l_suppkey || '-' || l_linenumber) AS k FROM lineitem),
+w AS (SELECT DISTINCT l_orderkey, 0::BIGINT AS k, []::VARCHAR[] AS ids, 0::BIGINT AS used FROM l
+UNION ALL SELECT w.l_orderkey, l.k, CASE WHEN len(ids) < 4 AND used + t <= 100 THEN list_append(ids, id) ELSE ids END, CASE WHEN len(ids) < 4 AND used + t <= 100 THEN used + t ELSE used END FROM w JOIN l ON l.l_orderkey = w.l_orderkey AND l.k = w.k + 1)
+SELECT l_orderkey, array_to_string(ids, ',') AS kept FROM w QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY k DESC) = 1
+""")
 def budget_greedy(spark, d):
     """Lines of an order in ship order under a budget of 100 units of quantity and 4 lines."""
     item = F.struct("l_shipdate", F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber").alias("id"), F.col("l_quantity").cast("long").alias("tokens"))
     o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return o.select("l_orderkey", folds.greedy_budget(F.col("items"), 100, 4).alias("kept"))
+    return o.select("l_orderkey", F.array_join(folds.greedy_budget(F.col("items"), 100, 4), ",").alias("kept"))
 
 
 def _costed(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("task"), F.col("l_returnflag").alias("obligation"), F.col("l_linestatus").alias("grp"), F.col("l_partkey").alias("evidence")).agg(F.min("l_quantity").cast("long").alias("cost"))
 
 
-@query()
+_CERT = """
+c AS (SELECT l_orderkey AS task, l_returnflag AS o, l_linestatus AS g, l_partkey::VARCHAR AS e, min(l_quantity)::BIGINT AS cost FROM lineitem GROUP BY ALL), pr AS (SELECT task, e, min(cost) AS cost FROM c GROUP BY ALL),
+s AS (SELECT task, o, g, list_sort(list(DISTINCT e)) AS ids FROM c GROUP BY ALL), t AS (SELECT DISTINCT task FROM c),
+x AS (SELECT t.task, list_sort(list_distinct(list_concat(list_concat(coalesce(a.ids, []), coalesce(n.ids, [])), coalesce(r.ids, [])))) AS ids, [a.g, n.g, r.g] AS gs
+FROM t LEFT JOIN (SELECT * FROM s WHERE o = 'A') a USING (task) LEFT JOIN (SELECT * FROM s WHERE o = 'N' AND {0}) n USING (task) LEFT JOIN (SELECT * FROM s WHERE o = 'R') r USING (task)),
+y AS (SELECT x.task, ids, gs, sum(cost) AS cost FROM x JOIN pr ON pr.task = x.task AND list_contains(ids, e) GROUP BY ALL),
+best AS (SELECT task, ids, cost FROM y QUALIFY row_number() OVER (PARTITION BY task ORDER BY cost, len(ids), ids, gs) = 1)
+"""
+
+
+@query(f"WITH {_CERT.format('true')} SELECT task, array_to_string(ids, ',') AS certificate, cost::BIGINT AS cost FROM best")
 def min_certificate(spark, d):
-    return folds.certificates(_costed(spark, d), "task", "obligation", "grp", "evidence", "cost")
+    return folds.certificates(_costed(spark, d), "task", "obligation", "grp", "evidence", "cost").withColumn("certificate", F.array_join("certificate", ","))
 
 
 @query()
 def acquisition_order(spark, d):
-    return folds.acquisition_order(_costed(spark, d), "task", "obligation", "grp", "evidence", "cost")
+    """The way to each order's certificate; what was neither returned nor accepted is optional. No SQL: it is stepwise."""
+    x = _costed(spark, d).withColumn("mandatory", F.col("obligation") != "N")
+    return folds.acquisition_order(x, "task", "obligation", "grp", "evidence", "cost", "mandatory")
+
+
+@query(f"""
+WITH {_CERT.format('false')}, m AS (SELECT DISTINCT task FROM c WHERE o <> 'N') SELECT task, e AS evidence FROM (SELECT task, unnest(ids) AS e FROM best) SEMI JOIN m USING (task)
+""")
+def acquired_set(spark, d):
+    """What acquisition_order acquires, as a set: the certificate of the mandatory obligations."""
+    return acquisition_order(spark, d).select("task", "evidence")

@@ -32,23 +32,14 @@ def render_units(spark, d):
 
 @query(r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
-c AS (SELECT doc_id, w, unnest(range(0, least(8, greatest(1, ceil((len(w) - 64) / 48)::INT + 1)))) AS chunk FROM w WHERE len(w) > 0)
+c AS (SELECT doc_id, w, unnest(range(0, greatest(1, ceil((len(w) - 64) / 48)::INT + 1))) AS chunk FROM w WHERE len(w) > 0)
 SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(len(w[chunk * 48 + 1:chunk * 48 + 64]) AS INT) AS tokens, array_to_string(w[chunk * 48 + 1:chunk * 48 + 64], ' ') AS text FROM c
 """)
 def token_chunks(spark, d):
+    """Windows of 64 tokens, 48 apart, to the end of every text."""
     return extract.chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query(r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
-c AS (SELECT doc_id, w, unnest(range(0, greatest(1, ceil((len(w) - 64) / 48)::INT + 1))) AS chunk FROM w WHERE len(w) > 0)
-SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(len(w[chunk * 48 + 1:chunk * 48 + 64]) AS INT) AS tokens, array_to_string(w[chunk * 48 + 1:chunk * 48 + 64], ' ') AS text FROM c
-""")
-def token_chunks_whole(spark, d):
-    """token_chunks to the end of every text."""
-    return extract.chunks(table(spark, d, "documents"), "doc_id", "text", most=None)
-
-
 @query()
 def extracted_units(spark, d):
     u = units(spark, d, "file_version_id", "path", "content", "unit_type").where("unit_type = 'file'")
@@ -71,17 +62,17 @@ def structural_pairs(spark, d):
 @query(f"""
 WITH {UNITS_SQL}, o AS (SELECT repo AS task_id, row_number() OVER (PARTITION BY repo ORDER BY evidence_id) AS source_rank, CASE WHEN unit_type = 'method' THEN evidence_id END AS o_id, path AS o_path,
 CASE WHEN unit_type = 'function' THEN symbol END AS o_symbol, CASE WHEN unit_type = 'code_block' THEN start_line END AS o_start, CASE WHEN unit_type = 'code_block' THEN end_line END AS o_end FROM units WHERE unit_type <> 'file'),
-r AS (SELECT o.*, u.* FROM o JOIN units u ON o_path = u.path WHERE o_id IS NULL),
-h AS (SELECT task_id, source_rank, o_id AS evidence_id FROM o WHERE o_id IS NOT NULL UNION ALL SELECT task_id, source_rank, evidence_id FROM r WHERE o_symbol IS NOT NULL AND (symbol = o_symbol OR ends_with(symbol, '.' || o_symbol))
+s AS (SELECT * FROM units WHERE coalesce(scoreable, true)), r AS (SELECT o.*, s.* FROM o JOIN s ON o_path = s.path AND task_id = s.repo WHERE o_id IS NULL),
+h AS (SELECT task_id, source_rank, o_id AS evidence_id FROM o JOIN s ON o_id = s.evidence_id AND task_id = s.repo UNION ALL SELECT task_id, source_rank, evidence_id FROM r WHERE o_symbol IS NOT NULL AND (symbol = o_symbol OR qualified_name = o_symbol)
 UNION ALL SELECT task_id, source_rank, evidence_id FROM r WHERE o_symbol IS NULL AND o_start IS NOT NULL AND start_line <= o_end AND o_start <= end_line UNION ALL SELECT task_id, source_rank, evidence_id FROM r WHERE o_symbol IS NULL AND o_start IS NULL)
 SELECT task_id, evidence_id, min(source_rank) AS source_rank FROM h GROUP BY ALL
 """)
 def output_adapter(spark, d):
     """A repository's units as outputs: methods by id, functions by symbol, blocks by span, others by path."""
-    u = units(spark, d, "repo", "path", "symbol", "start_line", "end_line", "unit_type")
+    u = units(spark, d, "repo", "path", "symbol", "qualified_name", "start_line", "end_line", "unit_type", "scoreable").withColumn("task_id", F.col("repo"))
     only = lambda kind, c: F.when(F.col("unit_type") == kind, F.col(c))
     o = u.where("unit_type <> 'file'").select(
-        F.col("repo").alias("task_id"), F.row_number().over(Window.partitionBy("repo").orderBy("evidence_id")).alias("source_rank"), only("method", "evidence_id").alias("evidence_id"), "path",
+        "task_id", F.row_number().over(Window.partitionBy("repo").orderBy("evidence_id")).alias("source_rank"), only("method", "evidence_id").alias("evidence_id"), "path",
         only("function", "symbol").alias("symbol"), only("code_block", "start_line").alias("start_line"), only("code_block", "end_line").alias("end_line"))
     return retrieval.adapt_outputs(o, u)
 
@@ -102,17 +93,17 @@ def import_resolution(spark, d):
     return i.join(f, ["repo", "end"]).select("importer", "imported").distinct()
 
 
-_PATHS = "p AS (SELECT task_id, file_version_id, row_number() OVER (PARTITION BY task_id ORDER BY line_count DESC, file_version_id) AS rank FROM tasks JOIN file_versions USING (repo) WHERE split <> 'train')"
+_PATHS = "p AS (SELECT task_id, file_version_id, row_number() OVER (PARTITION BY task_id ORDER BY line_count DESC, file_version_id) AS rank FROM tasks JOIN file_versions USING (repo) WHERE true)"
 
 
 @query(f"""
-WITH {TASKS_SQL}, {_PATHS}, c AS (SELECT task_id, file_version_id, row_number() OVER (PARTITION BY task_id ORDER BY path, file_version_id) AS rank FROM tasks JOIN file_versions USING (repo) WHERE split <> 'train' AND status = 'indexed'),
+WITH {TASKS_SQL}, {_PATHS}, c AS (SELECT task_id, file_version_id, row_number() OVER (PARTITION BY task_id ORDER BY path, file_version_id) AS rank FROM tasks JOIN file_versions USING (repo) WHERE status = 'indexed'),
 u AS (SELECT task_id, file_version_id, 0 AS c, 'path' AS s, rank FROM p WHERE rank <= 4 UNION ALL SELECT task_id, file_version_id, 1, 'content', rank FROM c WHERE rank <= 8),
 b AS (SELECT task_id, file_version_id, min(c * 1000 + rank) AS k, array_to_string(list_sort(list_distinct(list(s))), '+') AS sources FROM u GROUP BY ALL)
 SELECT task_id, file_version_id, row_number() OVER (PARTITION BY task_id ORDER BY k, file_version_id) AS rank, sources FROM b QUALIFY rank <= 10
 """)
 def file_shortlist(spark, d):
-    t = tasks(spark, d, "split", "repo").where("split <> 'train'").select("task_id", "repo").join(table(spark, d, "file_versions"), "repo")
+    t = tasks(spark, d, "repo").join(table(spark, d, "file_versions"), "repo")
     p = ranking.ranked(t, ["task_id"], [F.col("line_count").desc(), F.col("file_version_id")])
     c = ranking.ranked(t.where("status = 'indexed'"), ["task_id"], [F.col("path"), F.col("file_version_id")])
     return retrieval.shortlist(p, c, "task_id", "file_version_id", (4, 8), 10).withColumn("sources", F.array_join("sources", "+"))
@@ -120,10 +111,11 @@ def file_shortlist(spark, d):
 
 @query()
 def agent_rounds(spark, d):
-    """Tasks of the validation split acquire units of their repository's files in five rounds under two budgets."""
-    t = tasks(spark, d, "split", "repo").where("split = 'validation'").select("task_id", "repo")
-    u = units(spark, d, "repo", "scoreable", "start_line", "end_line").where("scoreable").withColumn("tokens", F.col("end_line") - F.col("start_line") + 1)
-    x = t.join(u, "repo")
+    """All tasks acquire units of their snapshot's files in five rounds under two budgets, from two channels of the 64
+    best each, as the reference ranks its channels."""
+    t = tasks(spark, d, "snapshot_id").select("task_id", "snapshot_id")
+    u = units(spark, d, "file_version_id", "scoreable", "start_line", "end_line").where("scoreable").withColumn("tokens", F.col("end_line") - F.col("start_line") + 1)
+    x = t.join(table(spark, d, "snapshot_membership").select("snapshot_id", "file_version_id").distinct(), "snapshot_id").join(u, "file_version_id")
     by = lambda name, *o: ranking.ranked(x, ["task_id"], [*o, F.col("evidence_id")], 64).select("task_id", F.lit(name).alias("channel"), "evidence_id", "rank", "tokens")
     return retrieval.acquire(by("short", F.col("tokens")).unionByName(by("early", F.col("start_line"))), 5, 4, 60)
 
@@ -157,7 +149,7 @@ def witness_signature(spark, d):
     return g.groupBy("l_orderkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "|"), 256).alias("signature"))
 
 
-@query(f"WITH {UNITS_SQL} SELECT evidence_id, CASE WHEN length(content) <= 400 THEN content ELSE substr(content, 1, 300) || chr(10) || '...' || chr(10) || right(content, 100) END AS body FROM units WHERE unit_type = 'method'")
+@query(f"WITH {UNITS_SQL} SELECT evidence_id, CASE WHEN length(content) <= 400 THEN content ELSE substr(content, 1, 300) || chr(10) || '...' || chr(10) || right(content, 100) END AS body FROM units")
 def head_tail_bodies(spark, d):
-    u = units(spark, d, "unit_type", "content").where("unit_type = 'method'")
+    u = units(spark, d, "content")
     return u.select("evidence_id", T.head_tail(F.col("content"), 400).alias("body"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import channels as C
+from corvane.operators import graph
 from corvane.operators import ranking as R
-from corvane.plans.corpus import SPLIT
+from corvane.plans.corpus import MENTION_SQL, SPLIT
 from corvane.plans.registry import query
 from corvane.plans.views import TASKS_SQL, UNITS_SQL, tasks, units
 from corvane.sources.tables import table
@@ -103,48 +105,124 @@ def rrf_head_protected(spark, d):
     return R.rrf_protected(_channels(spark, d), "query_id", "channel", "doc_id", "rank", limit=16).drop("sources")
 
 
+_Q = SPLIT.format("coalesce(problem_statement, '')")
+_SEEN = f"{UNITS_SQL}, {TASKS_SQL}, m AS (SELECT DISTINCT task_id, file_version_id FROM tasks JOIN snapshot_membership USING (snapshot_id)), q AS (SELECT task_id, unnest(list_distinct({_Q})) AS term FROM tasks)"
+
+
+def _asked(spark, d):
+    """(task, question, snapshot_id) of all tasks, and their distinct terms."""
+    t = tasks(spark, d, "snapshot_id", "problem_statement").select(F.col("task_id").alias("task"), "snapshot_id", F.col("problem_statement").alias("question"))
+    return t, C.asked_terms(t)
+
+
+def _seen_files(spark, d, t):
+    m = table(spark, d, "snapshot_membership").select("snapshot_id", "file_version_id").distinct()
+    return t.select("task", "snapshot_id").join(m, "snapshot_id").select("task", "file_version_id").distinct()
+
+
 @query(f"""
-WITH {UNITS_SQL}, {TASKS_SQL}, q AS (SELECT task_id, unnest({_PICK.format(SPLIT.format("coalesce(problem_statement, '')"))}) AS term FROM tasks WHERE split = 'benchmark'),
-u AS (SELECT evidence_id, unnest(list_distinct({SPLIT.format("coalesce(qualified_name, symbol)")})) AS term FROM units WHERE scoreable AND symbol IS NOT NULL),
-h AS (SELECT task_id, evidence_id, count(*) AS score FROM q JOIN u USING (term) GROUP BY ALL)
-SELECT task_id, evidence_id, score, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, evidence_id) AS rank FROM h QUALIFY rank <= 16
+WITH {_SEEN}, c AS (SELECT task_id, evidence_id, coalesce(qualified_name, symbol) AS s FROM m JOIN units USING (file_version_id) WHERE scoreable AND symbol IS NOT NULL),
+e AS (SELECT task_id, lower(unnest(list_distinct(regexp_extract_all(coalesce(problem_statement, ''), '`([A-Za-z_][A-Za-z0-9_.]*)(?:\\(.*?\\))?`', 1)))) AS name FROM tasks),
+o AS (SELECT task_id, evidence_id, count(*) AS n FROM (SELECT task_id, evidence_id, unnest(list_distinct({SPLIT.format("s")})) AS term FROM c) JOIN q USING (task_id, term) GROUP BY ALL),
+b AS (SELECT task_id, evidence_id, 4 * max(CASE WHEN lower(s) = name THEN 1 ELSE 0 END) + 2 AS n FROM c JOIN e USING (task_id) WHERE ends_with(lower(s), name) GROUP BY ALL),
+h AS (SELECT task_id AS task, evidence_id AS evidence, sum(n)::INT AS score FROM (SELECT * FROM o UNION ALL SELECT * FROM b) GROUP BY ALL)
+SELECT task, evidence, score, row_number() OVER (PARTITION BY task ORDER BY score DESC, evidence) AS rank FROM h QUALIFY rank <= 64
 """)
 def symbol_rank(spark, d):
-    u = units(spark, d, "scoreable", "symbol", "qualified_name").where("scoreable and symbol is not null")
-    t = tasks(spark, d, "split", "problem_statement").where("split = 'benchmark'")
-    return R.overlap_scores(u, "evidence_id", F.coalesce("qualified_name", "symbol"), t, "task_id", "problem_statement", 16)
+    """Units of a task's snapshot by the terms of their symbol, and by the names between backticks in the statement."""
+    t, asked = _asked(spark, d)
+    u = units(spark, d, "file_version_id", "scoreable", "symbol", "qualified_name").where("scoreable and symbol is not null").withColumnRenamed("evidence_id", "evidence")
+    universe = _seen_files(spark, d, t).join(u.select("file_version_id", "evidence"), "file_version_id")
+    names = t.select("task", F.explode(T.code_spans(F.col("question"))).alias("name"))
+    return C.overlap(universe, u, F.coalesce("qualified_name", "symbol"), asked, names)
 
 
 @query(f"""
-WITH {TASKS_SQL}, q AS (SELECT task_id, unnest({_PICK.format(SPLIT.format("coalesce(problem_statement, '')"))}) AS term FROM tasks WHERE split <> 'train'),
-u AS (SELECT file_version_id, unnest(list_distinct({SPLIT.format("path")})) AS term FROM file_versions), h AS (SELECT task_id, file_version_id, count(*) AS score FROM q JOIN u USING (term) GROUP BY ALL)
-SELECT task_id, file_version_id, score, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, file_version_id) AS rank FROM h QUALIFY rank <= 16
+WITH {_SEEN}, c AS (SELECT task_id, file_version_id, path FROM m JOIN file_versions USING (file_version_id)),
+e AS (SELECT task_id, lower(unnest(list_distinct(regexp_extract_all(coalesce(problem_statement, ''), '{MENTION_SQL}', 1)))) AS name FROM tasks),
+o AS (SELECT task_id, file_version_id, count(*) AS n FROM (SELECT task_id, file_version_id, unnest(list_distinct({SPLIT.format("path")})) AS term FROM c) JOIN q USING (task_id, term) GROUP BY ALL),
+b AS (SELECT task_id, file_version_id, 4 * max(CASE WHEN lower(path) = name THEN 1 ELSE 0 END) + 2 AS n FROM c JOIN e USING (task_id) WHERE ends_with(lower(path), name) GROUP BY ALL),
+h AS (SELECT task_id AS task, file_version_id AS evidence, sum(n)::INT AS score FROM (SELECT * FROM o UNION ALL SELECT * FROM b) GROUP BY ALL)
+SELECT task, evidence, score, row_number() OVER (PARTITION BY task ORDER BY score DESC, evidence) AS rank FROM h QUALIFY rank <= 64
 """)
 def path_rank(spark, d):
-    t = tasks(spark, d, "split", "problem_statement").where("split <> 'train'")
-    return R.overlap_scores(table(spark, d, "file_versions"), "file_version_id", F.col("path"), t, "task_id", "problem_statement", 16)
+    """Files of a task's snapshot by the terms of their path, and by the paths that the statement names."""
+    t, asked = _asked(spark, d)
+    f = table(spark, d, "file_versions").select(F.col("file_version_id").alias("evidence"), "path")
+    names = t.select("task", F.explode(T.path_mentions(F.col("question"))).alias("name"))
+    return C.overlap(_seen_files(spark, d, t).withColumnRenamed("file_version_id", "evidence"), f, F.translate("path", "\\", "/"), asked, names)
+
+
+_UNIT_BM25 = f"""
+{_SEEN}, c AS (SELECT task_id, evidence_id FROM m JOIN units USING (file_version_id) WHERE scoreable), w AS (SELECT evidence_id, {SPLIT.format("content")} AS terms FROM units WHERE scoreable),
+st AS (SELECT task_id, count(*) AS n, coalesce(nullif(avg(len(terms)), 0), 1.0) AS mean FROM c JOIN w USING (evidence_id) GROUP BY 1),
+p AS (SELECT evidence_id, len(terms) AS length, unnest(terms) AS term FROM w), pt AS (SELECT evidence_id, length, term, count(*) AS tf FROM p GROUP BY ALL),
+tf AS (SELECT task_id, evidence_id, length, term, tf FROM c JOIN pt USING (evidence_id) JOIN q USING (task_id, term)), df AS (SELECT task_id, term, count(*) AS df FROM tf GROUP BY ALL),
+h AS (SELECT task_id AS task, evidence_id AS evidence, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM tf JOIN df USING (task_id, term) JOIN st USING (task_id) GROUP BY ALL),
+content AS (SELECT task, evidence, score, row_number() OVER (PARTITION BY task ORDER BY score DESC, evidence) AS rank FROM h WHERE score > 0)
+"""
 
 
-@query(f"""
-WITH {UNITS_SQL}, {TASKS_SQL}, t AS (SELECT task_id, snapshot_id, {_PICK.format(SPLIT.format("coalesce(problem_statement, '')"))} AS terms FROM tasks WHERE split = 'validation'),
-c AS (SELECT DISTINCT t.task_id, u.evidence_id, u.content FROM t JOIN snapshot_membership m USING (snapshot_id) JOIN units u ON u.file_version_id = m.file_version_id AND u.scoreable),
-w AS (SELECT task_id, evidence_id, {SPLIT.format("content")} AS terms FROM c), st AS (SELECT task_id, count(*) AS n, coalesce(nullif(avg(len(terms)), 0), 1.0) AS mean FROM w GROUP BY 1),
-tf AS (SELECT task_id, evidence_id, length, term, count(*) AS tf FROM (SELECT task_id, evidence_id, len(terms) AS length, unnest(terms) AS term FROM w) JOIN (SELECT task_id, unnest(terms) AS term FROM t) USING (task_id, term) GROUP BY ALL),
-df AS (SELECT task_id, term, count(*) AS df FROM tf GROUP BY ALL),
-h AS (SELECT task_id, evidence_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM tf JOIN df USING (task_id, term) JOIN st USING (task_id) GROUP BY ALL)
-SELECT task_id, evidence_id, score, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, evidence_id) AS rank FROM h QUALIFY rank <= 64
-""")
+def _universe(spark, d):
+    """(tasks, asked terms, universe, units) with the reference names: the units of each task's snapshot."""
+    t, asked = _asked(spark, d)
+    u = units(spark, d, "file_version_id", "path", "symbol", "scoreable", "content").where("scoreable").select(F.col("evidence_id").alias("evidence"), "file_version_id", "path", "symbol", "content")
+    return t, asked, _seen_files(spark, d, t).join(u.select("file_version_id", "evidence"), "file_version_id").select("task", "evidence"), u
+
+
+@query(f"WITH {_UNIT_BM25} SELECT * FROM content WHERE rank <= 64")
 def candidate_unit_bm25(spark, d):
     """BM25 within a task's candidates, the units of its snapshot: counts and lengths are the candidates' own."""
-    t = tasks(spark, d, "split", "snapshot_id", "problem_statement").where("split = 'validation'")
-    u = units(spark, d, "file_version_id", "scoreable", "content").where("scoreable")
-    m = table(spark, d, "snapshot_membership").select("snapshot_id", "file_version_id").distinct()
-    pairs = t.select("task_id", "snapshot_id").join(m, "snapshot_id").join(u, "file_version_id").select("task_id", "evidence_id", "content")
-    w = pairs.select("task_id", "evidence_id", T.retrieval_terms(F.col("content")).alias("terms"))
-    stats = w.groupBy("task_id").agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg(F.size("terms")), F.lit(0.0)), F.lit(1.0)).alias("mean"))
-    asked = t.select("task_id", F.explode(T.query_terms(F.col("problem_statement"))).alias("term"))
-    tf = w.select("task_id", "evidence_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked, ["task_id", "term"]).groupBy("task_id", "evidence_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("task_id", "term").agg(F.count("*").alias("df"))
-    x = tf.join(df, ["task_id", "term"]).join(stats, "task_id")
-    gain = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean")))
-    return R.ranked(x.groupBy("task_id", "evidence_id").agg(F.round(F.sum(gain), 6).alias("score")), ["task_id"], [F.col("score").desc(), F.col("evidence_id")], 64)
+    _, asked, universe, u = _universe(spark, d)
+    return C.candidate_bm25(universe, R.unit_postings(u, asked, "evidence", "content"), asked)
+
+
+_CHANNELS = f"""
+{_UNIT_BM25.replace("c AS (SELECT task_id, evidence_id FROM m JOIN units USING (file_version_id) WHERE scoreable)",
+"k AS (SELECT task_id, min(evidence_id) AS held FROM m JOIN units USING (file_version_id) WHERE scoreable GROUP BY 1), c AS (SELECT task_id, evidence_id FROM m JOIN units USING (file_version_id) JOIN k USING (task_id) WHERE scoreable AND evidence_id <> held)")},
+o AS (SELECT c.task_id, c.evidence_id, path, coalesce(symbol, '') AS symbol FROM c JOIN units USING (evidence_id)),
+path AS (SELECT task_id AS task, evidence_id AS evidence, count(*) AS score FROM (SELECT task_id, evidence_id, unnest(list_distinct({SPLIT.format("path")})) AS term FROM o) JOIN q USING (task_id, term) GROUP BY ALL),
+sym AS (SELECT task_id AS task, evidence_id AS evidence, count(*) AS score FROM (SELECT task_id, evidence_id, unnest(list_distinct({SPLIT.format("symbol")})) AS term FROM o) JOIN q USING (task_id, term) GROUP BY ALL),
+ep AS (SELECT evidence_id AS a, parent_evidence_id AS b FROM units WHERE parent_evidence_id IN (SELECT evidence_id FROM units) UNION ALL SELECT a, b FROM (SELECT evidence_id AS a, lead(evidence_id) OVER (PARTITION BY file_version_id ORDER BY start_line, end_line, evidence_id) AS b FROM units) WHERE b IS NOT NULL),
+e AS (SELECT a AS source, b AS target FROM ep UNION SELECT b, a FROM ep), struct AS (SELECT c.task_id AS task, target AS evidence, count(*) AS score FROM k JOIN e ON source = held JOIN c ON c.task_id = k.task_id AND c.evidence_id = target GROUP BY ALL),
+every AS (SELECT task, 'bm25_content' AS channel, evidence, score FROM content UNION ALL SELECT task, 'path_name', evidence, score FROM path UNION ALL SELECT task, 'symbol', evidence, score FROM sym UNION ALL SELECT task, 'structure', evidence, score FROM struct)
+"""
+
+
+@query(f"WITH {_CHANNELS} SELECT task, channel, evidence, row_number() OVER (PARTITION BY task, channel ORDER BY score DESC, evidence) AS rank FROM every QUALIFY rank <= 64")
+def four_channel(spark, d):
+    """The four channels of every task; its state holds the first unit of its snapshot."""
+    _, asked, universe, u = _universe(spark, d)
+    edges = graph.structural_edges(units(spark, d, "file_version_id", "parent_evidence_id", "start_line", "end_line"))
+    held = universe.groupBy("task").agg(F.min("evidence").alias("evidence"))
+    return C.four_channels(universe, u, asked, held, edges)
+
+
+@query()
+def rag_pipeline(spark, d):
+    """The whole retrieval of every task: title and body are two dimensions, the first unit of the snapshot is held."""
+    t, _ = _asked(spark, d)
+    lines = F.split(F.coalesce("question", F.lit("")), "\n")
+    asked = t.select("task", F.explode(F.array(F.struct(F.lit("title").alias("dimension"), F.get(lines, F.lit(0)).alias("q")), F.struct(F.lit("body").alias("dimension"), F.array_join(F.slice(lines, 2, F.size(lines)), "\n").alias("q")))).alias("x"))
+    asked = asked.select("task", "x.dimension", F.explode(T.distinct_terms(F.col("x.q"))).alias("term"))
+    u = units(spark, d, "file_version_id", "path", "symbol", "unit_type", "scoreable", "content")
+    files = u.where("unit_type = 'file'").groupBy(F.col("file_version_id").alias("file")).agg(F.max("path").alias("path"), F.max("content").alias("content"))
+    scored = u.where("scoreable").select(F.col("evidence_id").alias("evidence"), F.col("file_version_id").alias("file"), "path", "symbol", "content")
+    seen = _seen_files(spark, d, t).withColumnRenamed("file_version_id", "file")
+    held = seen.join(scored.select("file", "evidence"), "file").groupBy("task").agg(F.min("evidence").alias("evidence"))
+    edges = graph.structural_edges(units(spark, d, "file_version_id", "parent_evidence_id", "start_line", "end_line"))
+    named = lambda f: t.select("task", F.explode(f(F.col("question"))).alias("name"))
+    return C.retrieve(seen, files, scored, asked, named(T.path_mentions), named(T.issue_symbols), held, edges).withColumn("sources", F.array_join("sources", "+"))
+
+
+@query("""
+WITH n AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), s AS (SELECT q.vec_id AS query_id, b.label, round(list_dot_product(q.e, b.e) / (q.n * b.n), 6) AS score FROM n q, n b WHERE q.vec_id % 20 = 0)
+SELECT query_id, label, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, label) AS rank FROM s GROUP BY query_id, label QUALIFY rank <= 5
+""")
+def dense_labels(spark, d):
+    """Labels as files and vectors as their chunks: a label scores by its best vector. The search is run to the end, so
+    that every label has its best."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    every = R.dense_groups(e, "label", "embedding", q, "query_id", "q")
+    return C.best_chunk(every, "query_id", "label", "score", 5)
