@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from corvane.operators.intervals import overlap_join
 from corvane.operators.metrics import auc, long_means
 
-HARD_STOPS = ("token_budget", "unit_budget", "max_steps")
-
 
 def first_seen(rows: DataFrame, by: list[str], item: str, pos: str) -> DataFrame:
     """(by, item, rank): distinct items in the order of their first occurrence."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import stable_id, stage_name
+from corvane.session import materialize
 
 EPS = 1e-6
 OBLIGATION = ["task", "obligation"]
@@ -56,7 +57,7 @@ def action_gains(actions: DataFrame, states: DataFrame, selected: DataFrame, wit
 
     Only groups that hold some of the action's evidence change, so the join is sparse and no state is built anew. A pair
     is a complement where one group holds both, and a substitute where each alone completes a group."""
-    groups = _groups(states, selected, witness)
+    groups = materialize(_groups(states, selected, witness), "groups")
     best = _best(groups)
     key = ["task", "state"]
     must = F.coalesce("mandatory", F.lit(False)).cast("int")
@@ -111,7 +112,7 @@ def label_actions(actions: DataFrame, states: DataFrame, selected: DataFrame, wi
     parts = parts.groupBy(*key, "action").agg(
         F.count("*").alias("size"), F.sum(F.coalesce("cost", F.lit(0))).alias("token_cost"), F.min(F.coalesce("_neg", F.lit(False))).alias("all_negative"), F.min(F.coalesce("_wit", F.lit(False))).alias("all_witness"),
         F.min("evidence").alias("left"), F.max("evidence").alias("right"))
-    x = gains.join(parts, [*key, "action"]).withColumn("kind", F.when(F.col("size") == 1, "single").otherwise("pair"))
+    x = materialize(gains.join(parts, [*key, "action"]), "actions").withColumn("kind", F.when(F.col("size") == 1, "single").otherwise("pair"))
     single = lambda side: x.where("size = 1").select(*key, F.col("left").alias(side), F.col("completion_gain").alias(f"_c_{side}"), F.col("progress_gain").alias(f"_p_{side}"))
     pair = F.col("size") == 2
     x = x.join(single("left"), [*key, "left"], "left").join(single("right"), [*key, "right"], "left")
@@ -119,10 +120,11 @@ def label_actions(actions: DataFrame, states: DataFrame, selected: DataFrame, wi
     positive = (F.col("completion_gain") > EPS) | ((F.abs("completion_gain") <= EPS) & (F.col("progress_gain") > EPS))
     useful = F.when(F.coalesce(positive, F.lit(False)), True).when(F.col("all_negative") | F.col("all_witness"), False)
     x = x.select(*key, "action", "kind", "size", "token_cost", "completion_gain", "progress_gain", more("completion"), more("progress"), (pair & F.col("complement")).alias("complement"), (pair & F.col("substitute")).alias("substitute"), "covered", useful.alias("semantic_useful"))
+    x = materialize(x, "labelled")
     own = F.struct(F.col("completion_gain").alias("c"), F.col("progress_gain").alias("p"), F.col("token_cost").alias("t"))
     rivals = x.where("semantic_useful is not null").groupBy(*key).agg(F.collect_set(own).alias("_all"))
     metrics = state_metrics(states, selected, witness).select(*key, F.col("completion").alias("_done"))
-    x = x.join(rivals, key, "left").join(metrics, key, "left").withColumn("pareto_dominated", F.when(F.col("semantic_useful").isNotNull(), _dominated(own, F.col("_all"))).otherwise(False))
+    x = x.join(rivals, key, "left").join(metrics, key, "left").withColumn("pareto_dominated", F.coalesce(F.when(F.col("semantic_useful").isNotNull(), _dominated(own, F.col("_all"))), F.lit(False)))
     complete = F.coalesce(F.col("_done") == 1, F.lit(False))
     good = F.when(complete, False).when(F.col("semantic_useful"), ~F.col("pareto_dominated")).when(~F.col("semantic_useful"), False)
     x = x.withColumn("acceptable", good)

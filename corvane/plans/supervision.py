@@ -32,18 +32,12 @@ def semantic_means(spark, d):
 
 
 @query("""
-WITH v AS (SELECT DISTINCT user_id % 30 AS slot, event_type AS status, (user_id // 30) % 3 AS voter, CASE WHEN event_id % 2 = 0 THEN event_id % 4 END AS grp FROM events WHERE value > 80),
+WITH v AS (SELECT DISTINCT user_id % 30 AS slot, event_type AS status, (user_id // 30) % 3 AS voter, CASE WHEN event_id % 2 = 0 THEN event_id % 4 END AS grp FROM events),
 w AS (SELECT slot, status, count(DISTINCT voter) AS n FROM v GROUP BY ALL), b AS (SELECT slot, status FROM w WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY slot ORDER BY n DESC, status DESC) = 1),
 g AS (SELECT slot, grp FROM v SEMI JOIN b USING (slot, status) WHERE grp IS NOT NULL GROUP BY ALL HAVING count(DISTINCT voter) >= 2)
 SELECT slot, status, coalesce(grp, -1) AS grp FROM b LEFT JOIN g USING (slot)
 """)
 def group_consensus(spark, d):
-    return _consensus(table(spark, d, "events").where("value > 80"))
-
-
-@query()
-def group_consensus_whole(spark, d):
-    """group_consensus over all events."""
     return _consensus(table(spark, d, "events"))
 
 
