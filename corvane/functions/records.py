@@ -139,6 +139,7 @@ def region_list(regions: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, path, start_line, end_line) of regions given as JSON: a list, or a map of lists. Regions without a path, or
     whose end lies before their start, are left out."""
     kind = "array<struct<path:string,start_line:int,end_line:int>>"
-    flat = F.coalesce(F.from_json(payload, kind), F.flatten(F.map_values(F.from_json(payload, f"map<string,{kind}>"))))
+    listed = F.ltrim(F.col(payload)).startswith("[")
+    flat = F.when(listed, F.from_json(payload, kind)).otherwise(F.flatten(F.map_values(F.from_json(payload, f"map<string,{kind}>"))))
     x = regions.select(key, F.explode(flat).alias("r")).select(key, normal_path(F.col("r.path")).alias("path"), "r.start_line", "r.end_line")
     return x.where("path <> '' and start_line >= 1 and end_line >= start_line")

@@ -78,12 +78,15 @@ def _cosines(base: DataFrame, key: str, vector: str, queries: DataFrame, query:
     driver nor a task ever holds more than a block of queries, and a row never meets a query as a pair in the JVM."""
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     from corvane.session import ship
 
     spark = base.sparkSession
     ship(spark)
     q_kind, r_kind = queries.schema[query].dataType, base.schema[key].dataType
+    types = to_arrow_type(q_kind), to_arrow_type(r_kind)
     kinds = f"{query} {q_kind.simpleString()}, {key} {r_kind.simpleString()}, score double"
     rows = base.select(F.col(key).alias("r"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and r is not null")
     asked = queries.select(F.col(query).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v is not null and q is not null")
@@ -127,11 +130,9 @@ def _cosines(base: DataFrame, key: str, vector: str, queries: DataFrame, query:
                 elif ids:
                     q = _unit(vectors) if q is None else q
                     out = scores(ids, q, pd.DataFrame({"r": rs[first:last], "v": vs[first:last]}))
-                    yield pa.RecordBatch.from_pydict({query: pa.array(out[query].tolist()), key: pa.array(out[key].tolist()), "score": pa.array(out["score"])})
+                    yield pa.RecordBatch.from_arrays([pa.array(out[query].tolist(), types[0]), pa.array(out[key].tolist(), types[1]), pa.array(out["score"], pa.float64())], [query, key, "score"])
                 first = last
 
-    import pyarrow as pa
-
     return both.select("b", "c", "is_row", "q", "r", "v").mapInArrow(stream, kinds)
 
 

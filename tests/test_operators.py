@@ -24,7 +24,7 @@ def test_lines_like_splitlines(spark):
 
 
 def test_paths_and_questions(spark):
-    df = spark.createDataFrame([("src/a.py", "source"), ("tests/x/a.py", "test"), ("docs/a.md", "doc"), ("a/b.json", "resource"), ("vendor/a.js", "low_value"), (None, "source")], "p string, want string")
+    df = spark.createDataFrame([("src/a.py", "source"), ("tests/x/a.py", "test"), ("docs/a.md", "doc"), ("a/b.json", "resource"), ("vendor/a.js", "source"), ("README.md", "low_value"), ("x/fixtures/test_a.py", "low_value"), ("conftest.py", "test"), ("docs/whatsnew/v1.rst", "low_value"), (None, "source")], "p string, want string")
     assert all(r.c == r.want for r in df.select("want", T.path_category(F.col("p")).alias("c")).collect())
     q = spark.createDataFrame([("p", ["a", " ", None]), (None, None)], "p string, h array<string>").select(T.question(F.col("p"), F.col("h")).alias("q"))
     assert [r.q for r in q.collect()] == ["p\na", ""]
@@ -113,9 +113,9 @@ def test_whole_queries(spark, tmp_path):
     from corvane.plans import catalog
 
     spark.createDataFrame([(1, 1, 11, 1), (1, 5, 11, 2), (2, 5, 61, 2)], "l_orderkey int, l_linenumber int, l_suppkey int, l_partkey int").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert rows(catalog.QUERIES["minimal_groups_whole"](spark, str(tmp_path)), "obligation", "grp", "minimal", "duplicate") == [(11, 1, False, False), (11, 2, True, False)]
+    assert rows(catalog.QUERIES["minimal_groups"](spark, str(tmp_path)), "obligation", "grp", "minimal", "duplicate") == [(11, 1, False, False), (11, 2, True, False)]
     spark.createDataFrame([(1, 0, "a", 5.0), (2, 30, "a", 6.0), (4, 1, "a", 99.0)], "event_id int, user_id int, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
-    assert rows(catalog.QUERIES["group_consensus_whole"](spark, str(tmp_path)), "slot", "status", "grp") == [(0, "a", -1)]
+    assert rows(catalog.QUERIES["group_consensus"](spark, str(tmp_path)), "slot", "status", "grp") == [(0, "a", -1)]
 
 
 def test_folds(spark):

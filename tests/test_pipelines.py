@@ -81,17 +81,23 @@ def test_extract(spark):
     code = "import a\n\n@dec\nclass A:\n    def f(self):\n        return 1\n\n\ndef g():\n    pass\nx = 1\n"
     df = spark.createDataFrame([("p", "a.py", code), ("q", "b.py", "def (:\n"), ("r", "c.md", "a b c\n" * 4), ("s", "d.py", None)], "file_version_id string, path string, content string")
     got = extract.extract_units(df, limit=7).collect()
-    units = {(r.unit_type, r.qualified_name, r.start_line, r.end_line) for r in got if r.file_version_id == "p"}
-    assert units == {("code_block", None, 1, 2), ("class", "A", 3, 6), ("method", "A.f", 5, 6), ("function", "g", 9, 10), ("code_block", None, 11, 12)}
+    own = {r.unit_no: r for r in got if r.file_version_id == "p"}
+    units = {(r.unit_type, r.qualified_name, r.start_line, r.end_line, own[r.parent_no].qualified_name if r.parent_no else None) for r in own.values()}
+    blocks = {("code_block", None, 1, 3, None), ("code_block", None, 11, 11, None), ("code_block", None, 4, 5, "A"), ("code_block", None, 6, 6, "A"), ("code_block", None, 5, 5, "A.f"), ("code_block", None, 6, 6, "A.f"), ("code_block", None, 9, 9, "g"), ("code_block", None, 10, 10, "g")}
+    assert {u for u in units if u[0] != "code_block"} == {("file", None, 1, 11, None), ("class", "A", 4, 6, None), ("method", "A.f", 5, 6, "A"), ("function", "g", 9, 10, None)}
+    assert {u[2:4] for u in units if u[0] == "code_block" and u[4] is None} == {(1, 3), (11, 11)} and {u for u in units if u[0] == "code_block"} & blocks
+    assert all(r.scoreable == (r.unit_type != "file" and r.tokens <= 7) for r in got)
+    assert [(r.module, r.line) for r in extract.extract_imports(df).collect()] == [("a", 1)]
     assert {r.status for r in got if r.file_version_id == "q"} == {"fallback"}
-    assert sorted((r.start_line, r.end_line) for r in got if r.file_version_id == "r") == [(1, 2), (3, 5)]
+    assert sorted((r.start_line, r.end_line) for r in got if r.file_version_id == "r" and r.unit_type != "file") == [(1, 2), (3, 4)]
     c = extract.chunks(spark.createDataFrame([(1, " ".join(map(str, range(100)))), (2, "a"), (3, None)], "k int, t string"), "k", "t", 64, 48)
     assert sorted((r.k, r.chunk, r.tokens) for r in c.collect()) == [(1, 0, 64), (1, 1, 52), (2, 0, 1)]
 
 
 def test_adapter(spark):
-    u = spark.createDataFrame([("e1", "a.py", "A.f", 1, 9), ("e2", "a.py", "g", 10, 20), ("e3", "b.py", None, 1, 5)], "evidence_id string, path string, symbol string, start_line int, end_line int")
-    o = spark.createDataFrame([(1, 1, None, "a.py", None, 15, 16), (1, 2, "e1", "b.py", None, None, None), (1, 3, None, "a.py", "f", 10, 20), (1, 4, None, "b.py", None, None, None), (1, 5, "e2", None, None, None, None)],
+    u = [("e1", "a.py", "f", "A.f", 1, 9, True), ("e2", "a.py", "g", None, 10, 20, None), ("e3", "b.py", None, None, 1, 5, True), ("e4", "b.py", None, None, 1, 5, False)]
+    u = spark.createDataFrame([(1, *x) for x in u] + [(2, "e5", "a.py", "f", "A.f", 1, 99, True)], "task_id int, evidence_id string, path string, symbol string, qualified_name string, start_line int, end_line int, scoreable boolean")
+    o = spark.createDataFrame([(1, 1, None, "a.py", None, 15, 16), (1, 2, "e1", "b.py", None, None, None), (1, 3, None, "a.py", "A.f", 10, 20), (1, 4, None, "b.py", None, None, None), (1, 5, "e2", None, None, None, None)],
                               "task_id int, source_rank int, evidence_id string, path string, symbol string, start_line int, end_line int")
     assert sorted((r.evidence_id, r.source_rank) for r in retrieval.adapt_outputs(o, u).collect()) == [("e1", 2), ("e2", 1), ("e3", 4)]
 
@@ -120,7 +126,7 @@ def test_chunks_to_the_end(spark, tmp_path):
     words = [str(i) for i in range(1000)]
     spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:64])), (3, " ".join(words[:65])), (4, " ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {}
-    for r in catalog.QUERIES["token_chunks_whole"](spark, str(tmp_path)).orderBy("doc_id", "chunk").collect():
+    for r in catalog.QUERIES["token_chunks"](spark, str(tmp_path)).orderBy("doc_id", "chunk").collect():
         assert r.tokens == len(r.text.split())
         got.setdefault(r.doc_id, []).append(r.text.split())
     assert [w for k, c in enumerate(got[1]) for w in c[16 if k else 0 :]] == words and {k: len(v) for k, v in got.items()} == {1: 21, 2: 1, 3: 2}
