@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import records as R
+from corvane.functions import render
 from corvane.functions import text as T
 from corvane.operators import merge as G
 from corvane.operators.ranking import ranked
+from corvane.operators.selection import fitting_bodies
 from corvane.plans.registry import query
 from corvane.plans.views import TASKS_SQL, UNITS_SQL, tasks, units
 from corvane.sources.tables import table
@@ -199,3 +201,25 @@ def action_ranking(spark, d):
     """Actions of a state by score; equal scores keep their order."""
     w = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "ts", "event_id")
     return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("rank"))
+
+
+@query(f"""
+WITH {UNITS_SQL}, u AS (SELECT *, '证据 ID：' || evidence_id || chr(10) || '位置：' || path || ':' || start_line || '-' || end_line || chr(10) || '类型：' || unit_type || chr(10) || content AS body FROM units WHERE unit_type <> 'file' AND scoreable)
+SELECT file_version_id, string_agg(body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY start_line, end_line, evidence_id) AS package FROM u GROUP BY file_version_id
+""")
+def judge_packages(spark, d):
+    """Each file's units as a judge sees a package."""
+    u = units(spark, d, "file_version_id", "path", "unit_type", "start_line", "end_line", "content", "scoreable").where("unit_type <> 'file' and scoreable")
+    one = F.struct("start_line", "end_line", "evidence_id", "path", "unit_type", "content")
+    return u.groupBy("file_version_id").agg(F.array_sort(F.collect_list(one)).alias("units")).select("file_version_id", render.package(F.col("units")).alias("package"))
+
+
+@query()
+def action_inputs(spark, d):
+    """The scorer's input for each file's first unit, with its next units as state under a budget of 120 tokens for
+    bodies. No SQL: the budget is a walk."""
+    u = units(spark, d, "file_version_id", "path", "unit_type", "symbol", "qualified_name", "start_line", "end_line", "content", "scoreable").where("unit_type <> 'file' and scoreable")
+    one = F.struct("start_line", "end_line", "evidence_id", "path", "unit_type", "symbol", "qualified_name", "content", (F.col("end_line") - F.col("start_line") + 1).alias("tokens"))
+    x = u.groupBy("file_version_id").agg(F.array_sort(F.collect_list(one)).alias("all")).select("file_version_id", F.slice("all", 1, 1).alias("next"), F.slice("all", 2, 8).alias("held"))
+    bodies = fitting_bodies(F.transform("held", lambda v: F.struct(v["evidence_id"].alias("id"), v["tokens"].alias("tokens"))), 120)
+    return x.select("file_version_id", render.action(F.lit("what fails?"), F.col("held"), bodies, F.col("next")).alias("text"))

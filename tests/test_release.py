@@ -79,6 +79,21 @@ def test_records(spark):
     assert spark.range(1).select(R.stable_json({"z": F.lit(1), "a": F.array(F.lit("x"))}).alias("j")).head().j == '{"a":["x"],"z":1}'
 
 
+def test_renderings(spark):
+    from corvane.functions import render
+
+    row = "struct<evidence_id:string,path:string,unit_type:string,symbol:string,qualified_name:string,start_line:int,end_line:int,content:string>"
+    a, b = ("e1", "a.py", "method", "f", "A.f", 1, 2, "x"), ("e2", "b.py", "code_block", None, None, 3, 3, "y")
+    df = spark.createDataFrame([([a, b], ["e2"], [a]), ([], [], [])], f"held array<{row}>, ids array<string>, next array<{row}>")
+    got = df.select(render.action(F.lit("q"), F.col("held"), F.col("ids"), F.col("next")).alias("a"), render.state(F.col("held"), F.col("ids")).alias("s"), render.package(F.col("held")).alias("p")).collect()
+    full, empty = max(got, key=lambda r: len(r.a)), min(got, key=lambda r: len(r.a))
+    assert full.a == ("[QUESTION]\nq\n\n[CURRENT EVIDENCE METADATA]\n[EVIDENCE_META] id=e1 path=a.py type=method symbol=f lines=1-2\n[EVIDENCE_META] id=e2 path=b.py type=code_block symbol=None lines=3-3"
+                      "\n\n[CURRENT EVIDENCE BODY]\n[STATE BODY] evidence_id=e2\ny\n\n[CANDIDATE ACTION]\n[PATH] a.py\n[TYPE] method\n[LINES] 1-2\n[SYMBOL] f\n[CONTENT]\nx")
+    assert empty.a == "[QUESTION]\nq\n\n[CURRENT EVIDENCE METADATA]\n[EMPTY]\n\n[CURRENT EVIDENCE BODY]\n[NONE]\n\n[CANDIDATE ACTION]\n[STOP]"
+    assert full.s == "Evidence ID：e1\n位置：a.py:1-2\n类型：method\n符号：A.f\n[正文因 Planner 上下文预算省略]\n\n---\n\nEvidence ID：e2\n位置：b.py:3-3\n类型：code_block\n符号：\ny" and empty.s == "[EMPTY]"
+    assert full.p == "证据 ID：e1\n位置：a.py:1-2\n类型：method\nx\n\n---\n\n证据 ID：e2\n位置：b.py:3-3\n类型：code_block\ny" and empty.p == ""
+
+
 def test_channels(spark):
     u = spark.createDataFrame([("e_cache", "cache/refresh.py", "refresh_cache", "refresh the stale cache cache"), ("e_test", "tests/test_cache.py", "test_refresh", "refresh stale cache"), ("e_net", "net.py", "send", "send a packet")], "evidence string, path string, symbol string, content string")
     tasks = spark.createDataFrame([("t", "refresh stale cache")], "task string, question string")
