@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import log
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +104,17 @@ def jaccard(left: list[bytes], right: list[bytes], size: int = 3):
     return sets, multi
 
 
+def most_unequal(m: int, threshold: float, loss: float = 2e-5) -> int:
+    """The number of bits in which two sets of similarity `threshold` differ at most, of m that agree as registers do or
+    else by chance, but for a share `loss` of such pairs."""
+    p, share = (1 - threshold) / 2, 1.0
+    for k in range(m + 1):
+        share -= comb(m, k) * p**k * (1 - p) ** (m - k)
+        if share <= loss:
+            return k
+    return m
+
+
 def near_duplicates(units: DataFrame, threshold: float = 0.7, least_tokens: int = 40, bands: int = 32, rows: int = 4, size: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the units with at least `least_tokens` tokens.
 
@@ -124,10 +135,11 @@ def near_duplicates(units: DataFrame, threshold: float = 0.7, least_tokens: int
     m = bands * rows
     cols = ["evidence_id", "file_version_id", "unit_type"]
     src = units.where("evidence_id is not null").select(*cols, F.coalesce("content", F.lit("")).alias("content"))
-    schema = "evidence_id string, file_version_id string, unit_type string, seq bigint, n int, bands array<int>"
+    schema = "evidence_id string, file_version_id string, unit_type string, seq bigint, n int, bands array<int>, bits array<bigint>"
+    words = m // 64
 
-    def banded(doc, g, w, k):
-        sig = signatures(doc, g, w, k, m).view(_U).reshape(k, bands, rows)
+    def banded(sig):
+        k, sig = len(sig), sig.view(_U).reshape(len(sig), bands, rows)
         band = np.zeros((k, bands), _U) + np.arange(bands, dtype=_U)
         for r in range(rows):
             band = mix(band * _U(0xD6E8FEB86659FD93) + sig[:, :, r])
@@ -144,11 +156,13 @@ def near_duplicates(units: DataFrame, threshold: float = 0.7, least_tokens: int
                 place = np.cumsum(enough) - 1
                 doc, g, w = place[doc[use]], g[use], w[use]
                 k = int(enough.sum())
-                band = banded(doc, g, np.ones_like(w), k)
+                sig = signatures(doc, g, np.ones_like(w), k, m)
+                band = banded(sig)
+                bits = np.packbits((mix(sig.view(_U)) & _U(1)).astype(np.uint8)[:, : 64 * words], axis=1).view(np.int64)
                 again = np.bincount(doc, w > 1, k) > 0  # elsewhere bag and set are one
                 use = again[doc]
                 bag = band.copy()
-                bag[again] = banded((np.cumsum(again) - 1)[doc[use]], g[use], w[use], int(again.sum()))
+                bag[again] = banded(signatures((np.cumsum(again) - 1)[doc[use]], g[use], w[use], int(again.sum()), m))
                 same = np.concatenate([np.zeros_like(band, bool), bag == band], 1)
                 own = np.ones_like(same)
                 own[:, bands:] = (bag != band).any(1, keepdims=True)
@@ -156,19 +170,22 @@ def near_duplicates(units: DataFrame, threshold: float = 0.7, least_tokens: int
                 p = part.slice(i, j - i).filter(pa.array(enough))
                 yield pa.RecordBatch.from_arrays(
                     [p.column(0), p.column(1), p.column(2), pa.array(whole[enough].view(np.int64)), pa.array(number[enough].astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([band, bag], 1)[own], mask=same[own]))],
-                    names=["evidence_id", "file_version_id", "unit_type", "seq", "n", "bands"],
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([band, bag], 1)[own], mask=same[own])),
+                     pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * words, pa.int32()), pa.array(bits.ravel()))],
+                    names=["evidence_id", "file_version_id", "unit_type", "seq", "n", "bands", "bits"],
                 )
 
     sketched = materialize(src.mapInArrow(sketch, schema), "sketches")
     sketched = sketched.withColumn("class_id", F.xxhash64("unit_type", "seq", "n"))
     members = sketched.select(*cols, "class_id").distinct()
-    classes = sketched.groupBy("class_id").agg(F.min_by(F.struct("evidence_id", "unit_type", "n", "bands"), "evidence_id").alias("c")).select("class_id", "c.*")
+    classes = sketched.groupBy("class_id").agg(F.min_by(F.struct("evidence_id", "unit_type", "n", "bands", "bits"), "evidence_id").alias("c")).select("class_id", "c.*")
     classes = materialize(classes, "classes")
-    met = classes.select("class_id", "n", "unit_type", F.posexplode("bands").alias("band", "value")).where("value is not null").select(F.xxhash64("unit_type", F.col("band") % bands, "value").alias("bucket"), "class_id", "n")
-    a, b = met.toDF("bucket", "class_a", "na"), met.toDF("bucket", "class_b", "nb")
+    met = classes.select("class_id", "n", "unit_type", *(F.col("bits")[i].alias(f"s{i}") for i in range(words)), F.posexplode("bands").alias("band", "value")).where("value is not null")
+    met = met.select(F.xxhash64("unit_type", F.col("band") % bands, "value").alias("bucket"), "class_id", "n", *(f"s{i}" for i in range(words)))
+    a, b = (met.toDF("bucket", f"class_{x}", f"n{x}", *(f"{x}{i}" for i in range(words))) for x in "ab")
+    unlike = " + ".join(["0", *(f"bit_count(a{i} ^ b{i})" for i in range(words))])
     pairs = (
-        a.join(b, "bucket").where("class_a < class_b and least(na, nb) >= %r * greatest(na, nb)" % (threshold - 1e-9))
+        a.join(b, "bucket").where("class_a < class_b and least(na, nb) >= %r * greatest(na, nb) and %s <= %d" % (threshold - 1e-9, unlike, most_unequal(64 * words, threshold)))
         .groupBy("class_a", "class_b").agg(F.count("*").alias("bands")).where("bands >= 2").select("class_a", "class_b")
     )
     pairs = materialize(pairs, "met")
@@ -190,11 +207,15 @@ def near_duplicates(units: DataFrame, threshold: float = 0.7, least_tokens: int
 
 def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(evidence_id_a < evidence_id_b): pairs of different file versions within a class or over a link."""
-    side = lambda s: members.select(F.col("class_id").alias(f"class_{s}"), F.col("evidence_id").alias(f"id_{s}"), F.col("file_version_id").alias(f"fv_{s}"))
+    again = members.groupBy("evidence_id").agg(F.count("*").alias("k")).where("k > 1").select("evidence_id", F.lit(True).alias("again"))
+    m = members.join(again, "evidence_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    cols = [f"{c}_{s}" for s in "ab" for c in ("id", "fv", "again")]
+    side = lambda s: m.select(F.col("class_id").alias(f"class_{s}"), F.col("evidence_id").alias(f"id_{s}"), F.col("file_version_id").alias(f"fv_{s}"), F.col("again").alias(f"again_{s}"))
     within = side("a").join(side("b").withColumnRenamed("class_b", "class_a"), "class_a").where("id_a < id_b")
     over = links.select("class_a", "class_b").join(side("a"), "class_a").join(side("b"), "class_b")
-    both = within.select("id_a", "fv_a", "id_b", "fv_b").unionByName(over.select("id_a", "fv_a", "id_b", "fv_b")).where("fv_a <> fv_b")
-    return both.select(F.least("id_a", "id_b").alias("evidence_id_a"), F.greatest("id_a", "id_b").alias("evidence_id_b")).distinct()
+    both = within.select(*cols).unionByName(over.select(*cols)).where("fv_a <> fv_b")
+    named = lambda df: df.select(F.least("id_a", "id_b").alias("evidence_id_a"), F.greatest("id_a", "id_b").alias("evidence_id_b"))
+    return named(both.where("not (again_a or again_b)")).unionByName(named(both.where("again_a or again_b")).distinct())
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,11 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df as a compressed table in the shared folder and reads it back, which cuts its lineage.
 
-    The table outlives executors. It is removed by release or when the application ends.
+    The table outlives executors. It is removed by release or when the application ends. What was shuffled to write it
+    is removed as soon as it is written, as nothing reads it again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path

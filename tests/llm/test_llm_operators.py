@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -227,3 +228,31 @@ def test_closings(spark):
         got.setdefault(texts[x.doc_id][0], set()).add(x.reason)
     assert got["whole"] == {None} and got["thanks"] == {None} and got["limit"] == {"limit"}
     assert None not in got["repost"] | got["fragment"] and "limit" not in got["repost"] | got["copies"]
+
+
+def test_unlike_pairs_are_dropped_in_their_bucket(spark, monkeypatch):
+    seen = {}
+    plain = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name="stage": seen.setdefault(name, df) and plain(df, name))
+    same = " ".join(f"w{i}" for i in range(80))
+    members, links = neardup.near_duplicates(evidence(spark, [(f"e{i}", f"f{i}", "a.txt", "file", same if i < 2 else f"{same} tail{i}") for i in range(4)]))
+    join = next(x for x in seen["met"]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert "bit_count" in join  # before the pairs are counted, which shuffles them
+    assert neardup.most_unequal(128, 0.7) == 37 and neardup.most_unequal(128, 1.0) == 0
+    pairs = neardup.duplicate_pairs(members, links)
+    assert sorted(map(tuple, pairs.collect())) == [(f"e{i}", f"e{j}") for i in range(4) for j in range(i + 1, 4)]
+    twice = members.unionByName(members.where("evidence_id = 'e0'").withColumn("class_id", F.col("class_id") + 1))
+    assert sorted(map(tuple, neardup.duplicate_pairs(twice, links).collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_materialize_leaves_no_shuffle(spark):
+    from corvane.session import materialize
+
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    written = materialize(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and written.count() == 10
