@@ -24,22 +24,173 @@ def unit_postings(units: DataFrame, vocabulary: DataFrame, key: str = "evidence"
     return materialize(x.groupBy(key, "length", F.when(F.col("_in"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")), "postings")
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, limit: int = 10, k1: float = 1.2, b: float = 0.75, terms: int = 12) -> DataFrame:
+def unit_vectors(units: DataFrame, vocabulary: DataFrame, key: str = "evidence", text: str = "content", most: int = 1_000_000) -> DataFrame:
+    """(key, length, terms, tfs): the number of a unit's terms, and the counts of those in the vocabulary, by the 64-bit
+    hashes of the terms, in order. Texts are read once and no term leaves its row, so nothing is shuffled. A vocabulary
+    over `most` terms is not gathered; then all terms of the units are kept. Written once, as several steps read it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corvane.session import ship
+
+    spark = units.sparkSession
+    ship(spark)
+    words = [r.h for r in vocabulary.select(F.xxhash64("term").alias("h")).distinct().limit(most + 1).collect()]
+    shared = spark.sparkContext.broadcast(np.sort(np.array(words, np.int64)) if len(words) <= most else None)
+    rows = units.select(key, F.transform(retrieval_terms(F.col(text)), lambda w: F.xxhash64(w)).alias("t"))
+
+    def count(batches):
+        known = shared.value
+        for batch in batches:
+            t = batch.column(1)
+            length = np.diff(t.offsets.to_numpy())
+            flat, row = t.flatten().to_numpy(), np.repeat(np.arange(len(length)), length)
+            if known is not None:
+                at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+                keep = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+                flat, row = flat[keep], row[keep]
+            order = np.lexsort((flat, row))
+            flat, row = flat[order], row[order]
+            first = np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1]))) if len(flat) else np.zeros(0, np.int64)
+            tf = np.diff(np.append(first, len(flat)))
+            ends = pa.array(np.searchsorted(row[first], np.arange(len(length) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat[first], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], [key, "length", "terms", "tfs"])
+
+    kind = units.schema[key].dataType.simpleString()
+    return materialize(rows.mapInArrow(count, f"{key} {kind}, length int, terms array<bigint>, tfs array<int>"), "vectors")
+
+
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, limit: int = 10, k1: float = 1.2, b: float = 0.75, terms: int = 12, block: int = 65_536, chunk: int = 500_000) -> DataFrame:
     """(query, key, score, rank): the `limit` best documents of each query.
 
     Queries are their `terms` longest distinct terms, as in the reference's index search. Texts are read and tokenised
-    once: the postings that are written hold the terms that a query asks for and every document's length, and term
-    frequencies, document frequencies, the number of documents and the mean length come from them. Score ties go by key."""
+    once. Score ties go by key.
+
+    A common term pairs most queries with most documents, so these pairs are never rows: a task holds a block of
+    queries, streams its share of the documents' term counts past them, and keeps each query's `limit` best."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
     asked = queries.select(query, F.explode(query_terms(F.col(query_text), terms)).alias("term"))
-    p = unit_postings(docs, asked, key, text)
-    stats = p.where("term is null").agg(F.count("*").alias("docs"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
-    own = p.where("term is not null")
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = own.join(df, "term").crossJoin(F.broadcast(stats)).select("term", key, gain.alias("gain"))
-    hits = asked.join(scored, "term").groupBy(query, key).agg(F.round(F.sum("gain"), 6).alias("score"))
-    return ranked(hits.where("score > 0"), [query], [F.col("score").desc(), F.col(key)], limit)
+    vectors = unit_vectors(docs, asked, key, text)
+    spark = docs.sparkSession
+    stats = vectors.agg(F.count("*").alias("docs"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("mean")).head()
+    vectors = _once(vectors, key)
+    df = vectors.select(F.explode("terms").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(stats["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    own = asked.select(query, F.xxhash64("term").alias("h")).join(df, "h").groupBy(query).agg(F.collect_list("h").alias("terms"), F.collect_list(idf).alias("idf"))
+    own = materialize(own, "queries")
+    blocks, groups = max(1, -(-own.count() // block)), max(spark.sparkContext.defaultParallelism, -(-stats["docs"] // chunk))
+    many = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q_kind, r_kind = queries.schema[query].dataType, docs.schema[key].dataType
+    none = lambda kind: F.lit(None).cast(kind)
+    a = own.select(part(query, blocks).alias("b"), many(groups).alias("c"), F.lit(False).alias("is_row"), F.col(query).alias("q"), none(r_kind).alias("r"), none("int").alias("length"), "terms", "idf", none("array<int>").alias("tfs"))
+    z = vectors.select(many(blocks).alias("b"), part(key, groups).alias("c"), F.lit(True).alias("is_row"), none(q_kind).alias("q"), F.col(key).alias("r"), "length", "terms", none("array<double>").alias("idf"), "tfs")
+    both = a.unionByName(z).repartitionById(blocks * groups, F.col("b") * groups + F.col("c")).sortWithinPartitions("is_row", "r")
+    types, mean = (to_arrow_type(q_kind), to_arrow_type(r_kind), pa.float64()), stats["mean"]
+
+    def stream(batches):
+        ids, wanted, weights, docs, held, keys, fresh = [], [], [], [], 0, [], []
+        best = None
+
+        def add():
+            nonlocal best, docs, held
+            if best is None:
+                best = _Best(wanted, weights, limit, k1, b, mean)
+            best.add(*(np.concatenate(x) for x in zip(*docs)))
+            docs, held = [], 0
+
+        for batch in batches:
+            x = {n: batch.column(n) for n in ("is_row", "q", "r", "length", "terms", "idf", "tfs")}
+            new = x["is_row"].false_count if len(batch) else 0
+            if new:
+                ids += x["q"].slice(0, new).to_pylist()
+                wanted += [v.values.to_numpy() for v in x["terms"].slice(0, new)]
+                weights += [v.values.to_numpy() for v in x["idf"].slice(0, new)]
+            if new < len(batch) and ids:
+                r, t, tf = (x[n].slice(new) for n in ("r", "terms", "tfs"))
+                names = r.to_pylist()
+                other = np.array([True, *(p != n for p, n in zip(names, names[1:]))])  # a repeated key is one document
+                other[0] = not keys or keys[-1][-1].as_py() != names[0]
+                if held > 4_000_000 and other[0]:
+                    add()
+                keys.append(r)
+                fresh.append(other)
+                docs.append((other, x["length"].slice(new).to_numpy(), np.diff(t.offsets.to_numpy()), t.flatten().to_numpy(), tf.flatten().to_numpy()))
+                held += len(docs[-1][3]) + 64 * len(r)
+        if docs:
+            add()
+        if best is None:
+            return
+        names = pa.chunked_array(keys).combine_chunks().filter(pa.array(np.concatenate(fresh)))
+        for i in range(0, len(ids), 1000):
+            at, rows, scores = best.top(i, min(i + 1000, len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 1000], types[0]).take(pa.array(at)), names.take(pa.array(rows)).cast(types[1]), pa.array(scores, types[2])], [query, key, "score"])
+
+    hits = both.select("is_row", "q", "r", "length", "terms", "idf", "tfs").mapInArrow(stream, f"{query} {q_kind.simpleString()}, {key} {r_kind.simpleString()}, score double")
+    return ranked(hits, [query], [F.col("score").desc(), F.col(key)], limit)
+
+
+def _once(vectors: DataFrame, key: str) -> DataFrame:
+    """The vectors with one row for a key and length: the counts of rows that repeat them are added up."""
+    again = vectors.groupBy(key, "length").agg(F.count("*").alias("k")).where("k > 1").select(key, "length")
+    if again.isEmpty():
+        return vectors
+    on = F.col(f"v.{key}").eqNullSafe(F.col(f"o.{key}")) & (F.col("v.length") == F.col("o.length"))
+    own = lambda how: vectors.alias("v").join(again.alias("o"), on, how)
+    flat = own("left_semi").select(key, "length", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("x")).groupBy(key, "length", F.col("x.terms").alias("h")).agg(F.sum("x.tfs").cast("int").alias("tf"))
+    summed = flat.groupBy(key, "length").agg(F.array_sort(F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "tf")))).alias("x"))
+    return materialize(own("left_anti").unionByName(summed.select(key, "length", F.col("x.h").alias("terms"), F.col("x.tf").alias("tfs"))), "vectors")
+
+
+class _Best:
+    """The best documents of each query so far, by score, then in the order in which documents come."""
+
+    def __init__(self, wanted: list, weights: list, limit: int, k1: float, b: float, mean: float) -> None:
+        import numpy as np
+
+        self.limit, self.k1, self.b, self.mean, self.seen = limit, k1, b, mean, 0
+        flat = np.concatenate(wanted)
+        self.terms, first = np.unique(flat, return_index=True)
+        self.idf = np.concatenate(weights)[first]
+        self.wanted = [np.searchsorted(self.terms, w) for w in wanted]
+        self.rows = [np.zeros(0, np.int64) for _ in wanted]
+        self.scores = [np.zeros(0) for _ in wanted]
+
+    def add(self, other, length, number, terms, tfs) -> None:
+        import numpy as np
+
+        place, n = np.cumsum(other) - 1, int(other.sum())
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        keep = np.flatnonzero(self.terms[at] == terms)
+        at, row, tf = at[keep], np.repeat(np.arange(len(length)), number)[keep], tfs[keep]
+        gain = self.idf[at] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[row] / self.mean))
+        order = np.argsort(at, kind="stable")
+        row, gain = place[row[order]], gain[order]
+        cut = np.searchsorted(at[order], np.arange(len(self.terms) + 1))
+        for i, w in enumerate(self.wanted):
+            spans = [slice(cut[t], cut[t + 1]) for t in w]
+            score = np.bincount(np.concatenate([row[s] for s in spans]), np.concatenate([gain[s] for s in spans]), n)
+            full = len(self.rows[i]) == self.limit
+            least = self.scores[i][-1] - 1e-6 if full else 0.0
+            if not full and n > 4 * self.limit:
+                least = max(least, np.partition(score, n - self.limit)[n - self.limit] - 1e-6)
+            found = np.flatnonzero(score > least)
+            if len(found):
+                s = np.concatenate([self.scores[i], np.floor(score[found] * 1e6 + 0.5) / 1e6])
+                r = np.concatenate([self.rows[i], found + self.seen])
+                s, r = s[s > 0], r[s > 0]
+                first = np.lexsort((r, -s))[: self.limit]
+                self.rows[i], self.scores[i] = r[first], s[first]
+        self.seen += n
+
+    def top(self, first: int, last: int):
+        import numpy as np
+
+        at = np.repeat(np.arange(last - first), [len(r) for r in self.rows[first:last]])
+        return at, np.concatenate(self.rows[first:last]), np.concatenate(self.scores[first:last])
 
 
 def rrf(rankings: DataFrame, query: str, channel: str, item: str, pos: str, k: int = 60, limit: int = 64) -> DataFrame:

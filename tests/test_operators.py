@@ -162,3 +162,37 @@ def test_graph(spark):
     got = {r.evidence_id: r.score for r in graph.expand(u.where("evidence_id = 'b'"), u).collect()}
     assert got == {"a": 4.5, "c": 0.5}
     assert graph.structural_edges(u.limit(0)).count() == 0
+
+
+def test_bm25_makes_no_pairs(spark, monkeypatch):
+    """Scores by brute force, with ties, a repeated document, chunks and blocks; queries never meet documents as rows."""
+    import math
+    import random
+    from collections import Counter
+
+    r = random.Random(5)
+    words = [f"word{chr(97 + i)}" for i in range(12)]
+    data = [(i, " ".join(r.choices(words, k=r.randint(1, 9)))) for i in range(300)] + [(7, "worda wordb"), (7, "worda wordc"), (400, None)]
+    docs = spark.createDataFrame(data, "id long, text string")
+    q = docs.where("id % 20 = 1").withColumnsRenamed({"id": "q", "text": "question"})
+    tf = Counter()
+    split = [(i, (t or "").split()) for i, t in data]
+    n, mean = len(split), sum(len(t) for _, t in split) / len(split)
+    for i, t in split:
+        tf.update((i, len(t), w) for w in t)
+    df = Counter(w for _, _, w in tf)
+    want = []
+    for k, t in ((i, t) for i, t in split if i % 20 == 1):
+        score = Counter()
+        for (i, length, w), c in tf.items():
+            if w in set(t):
+                score[i] += math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * length / mean))
+        best = sorted((-round(s, 6), i) for i, s in score.items())[:20]
+        want += [(k, i, -s, p + 1) for p, (s, i) in enumerate(best)]
+    for kind in ("long", "string"):
+        d = docs.withColumn("id", F.col("id").cast(kind) if kind == "long" else F.lpad(F.col("id").cast(kind), 3, "0"))
+        out = ranking.bm25(d, "id", "text", q, "q", "question", 20, block=5, chunk=100)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan
+        got = sorted((x.q, int(x.id), x.score, x.rank) for x in out.collect())
+        assert [(x[0], x[1], round(x[2], 5), x[3]) for x in got] == [(x[0], x[1], round(x[2], 5), x[3]) for x in sorted(want)]
