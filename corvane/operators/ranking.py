@@ -15,15 +15,6 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], limit: int | None
     return df if limit is None else df.where(F.col(out) <= limit)
 
 
-def unit_postings(units: DataFrame, vocabulary: DataFrame, key: str = "evidence", text: str = "content") -> DataFrame:
-    """(key, length, term, tf) of the terms in the vocabulary, and one row per unit with a null term and the number of
-    all its terms, from one pass over the texts. Written once, as several aggregates read it."""
-    terms = F.concat(F.array(F.lit(None).cast("string")), F.col("t"))
-    x = units.select(key, retrieval_terms(F.col(text)).alias("t")).select(key, F.size("t").alias("length"), F.explode(terms).alias("term"))
-    x = x.join(vocabulary.select("term").distinct().withColumn("_in", F.lit(True)), "term", "left")
-    return materialize(x.groupBy(key, "length", F.when(F.col("_in"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")), "postings")
-
-
 def unit_vectors(units: DataFrame, vocabulary: DataFrame, key: str = "evidence", text: str = "content", most: int = 1_000_000) -> DataFrame:
     """(key, length, terms, tfs): the number of a unit's terms, and the counts of those in the vocabulary, by the 64-bit
     hashes of the terms, in order. Texts are read once and no term leaves its row, so nothing is shuffled. A vocabulary

@@ -11,6 +11,7 @@ from corvane.operators import ranking as R
 from corvane.plans.corpus import MENTION_SQL, SPLIT
 from corvane.plans.registry import query
 from corvane.plans.views import TASKS_SQL, UNITS_SQL, tasks, units
+from corvane.session import materialize
 from corvane.sources.tables import table
 
 _PICK = "list_transform(list_sort(list_transform(list_distinct({0}), lambda w: {{'k': -length(w), 'w': w}}))[1:12], lambda x: x.w)"
@@ -164,17 +165,21 @@ content AS (SELECT task, evidence, score, row_number() OVER (PARTITION BY task O
 
 
 def _universe(spark, d):
-    """(tasks, asked terms, universe, units) with the reference names: the units of each task's snapshot."""
+    """(tasks, asked terms, scopes, universe, units) with the reference names: a scope is a snapshot, its units are the
+    candidates of all its tasks."""
     t, asked = _asked(spark, d)
     u = units(spark, d, "file_version_id", "path", "symbol", "scoreable", "content").where("scoreable").select(F.col("evidence_id").alias("evidence"), "file_version_id", "path", "symbol", "content")
-    return t, asked, _seen_files(spark, d, t).join(u.select("file_version_id", "evidence"), "file_version_id").select("task", "evidence"), u
+    scopes = t.select("task", F.col("snapshot_id").alias("scope")).where("scope is not null").distinct()
+    m = table(spark, d, "snapshot_membership").select(F.col("snapshot_id").alias("scope"), "file_version_id").distinct()
+    m = m.join(scopes.select("scope").distinct(), "scope", "left_semi").join(u.select("file_version_id", "evidence"), "file_version_id")
+    return t, asked, scopes, materialize(m.select("scope", "evidence"), "universe"), u
 
 
 @query(f"WITH {_UNIT_BM25} SELECT * FROM content WHERE rank <= 64")
 def candidate_unit_bm25(spark, d):
     """BM25 within a task's candidates, the units of its snapshot: counts and lengths are the candidates' own."""
-    _, asked, universe, u = _universe(spark, d)
-    return C.candidate_bm25(universe, R.unit_postings(u, asked, "evidence", "content"), asked)
+    _, asked, scopes, universe, u = _universe(spark, d)
+    return C.candidate_bm25(universe, R.unit_vectors(u, asked, "evidence", "content"), asked, scopes=scopes)
 
 
 _CHANNELS = f"""
@@ -192,10 +197,10 @@ every AS (SELECT task, 'bm25_content' AS channel, evidence, score FROM content U
 @query(f"WITH {_CHANNELS} SELECT task, channel, evidence, row_number() OVER (PARTITION BY task, channel ORDER BY score DESC, evidence) AS rank FROM every QUALIFY rank <= 64")
 def four_channel(spark, d):
     """The four channels of every task; its state holds the first unit of its snapshot."""
-    _, asked, universe, u = _universe(spark, d)
+    _, asked, scopes, universe, u = _universe(spark, d)
     edges = graph.structural_edges(units(spark, d, "file_version_id", "parent_evidence_id", "start_line", "end_line"))
-    held = universe.groupBy("task").agg(F.min("evidence").alias("evidence"))
-    return C.four_channels(universe, u, asked, held, edges)
+    held = universe.groupBy("scope").agg(F.min("evidence").alias("evidence")).join(scopes, "scope").select("task", "evidence")
+    return C.four_channels(universe, u, asked, held, edges, scopes=scopes)
 
 
 @query()

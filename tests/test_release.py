@@ -186,3 +186,27 @@ def test_merges(spark):
     assert s.groupBy("k").count().orderBy("k").collect() == [("a", 3), ("b", 1)] and sorted(map(tuple, short.collect())) == [("b", 2, 1), ("c", 1, 0)]
     sym = spark.createDataFrame([("A.f", "x", "f"), ("", "def g(a):", "m.g"), ("", "g(1)", "g"), (None, "  Total = 3", "Total"), ("h", None, "k")], "s string, c string, w string")
     assert [r.m for r in sym.select(merge.matches_symbol(F.col("s"), F.col("c"), F.col("w")).alias("m")).collect()] == [True, True, False, True, False]
+
+
+def test_scoped_candidates(spark):
+    """Tasks that share a scope get what each gets by itself, without what it holds, and no row pairs task and unit."""
+    from corvane.operators import ranking as R
+
+    u = spark.createDataFrame([(f"e{i}", "a.py", None, " ".join(["alpha"] * (i % 3) + ["beta"] * (i % 2) + ["gamma"])) for i in range(9)], "evidence string, path string, symbol string, content string")
+    asked = spark.createDataFrame([("t", "alpha"), ("t", "beta"), ("s", "alpha"), ("s", "none"), ("r", "none")], "task string, term string")
+    scopes = spark.createDataFrame([("t", "x"), ("s", "x"), ("r", "x")], "task string, scope string")
+    inside = u.select(F.lit("x").alias("scope"), "evidence")
+    held = spark.createDataFrame([("t", "e1"), ("s", "e2")], "task string, evidence string")
+    vectors = R.unit_vectors(u, asked)
+    shared = C.candidate_bm25(inside, vectors, asked, depth=5, scopes=scopes, held=held)
+    own = scopes.join(inside, "scope").select("task", "evidence").join(held, ["task", "evidence"], "left_anti")
+    got = sorted(map(tuple, shared.collect()))
+    assert got == sorted(map(tuple, C.candidate_bm25(own, vectors, asked, depth=5).collect())) and {g[0] for g in got} == {"s", "t"}
+    alone = [r for r in got if r[0] == "s"]
+    import math
+
+    # s sees 8 units, 5 of which hold alpha: e1, e4, e7 once, e5 and e8 twice; e2 is held
+    mean = sum(1 + i % 3 + i % 2 for i in range(9) if i != 2) / 8
+    gain = lambda tf, length: round(math.log(1 + (8 - 5 + 0.5) / 5.5) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)), 6)
+    want = sorted((-gain(i % 3, 1 + i % 3 + i % 2), f"e{i}") for i in (1, 4, 5, 7, 8))
+    assert [(r[1], round(r[2], 5)) for r in sorted(alone, key=lambda r: r[3])] == [(e, round(-s, 5)) for s, e in want]
