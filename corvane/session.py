@@ -8,10 +8,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_TEMPORARY: list[list[DataFrame]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -50,7 +52,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), key)
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+@contextmanager
+def temporary():
+    """Removes at its end the tables that materialize writes within, but for those to keep."""
+    outer, own = _TEMPORARY[:], []
+    _TEMPORARY[:] = [own]
+    try:
+        yield
+    finally:
+        _TEMPORARY[:] = outer
+        release(*own)
+
+
+def materialize(df: DataFrame, name: str = "stage", keep: bool = False) -> DataFrame:
     """Writes df as a compressed table in the shared folder and reads it back, which cuts its lineage.
 
     The table outlives executors. It is removed by release or when the application ends. What was shuffled to write it
@@ -67,6 +81,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    if _TEMPORARY and not keep:
+        _TEMPORARY[0].append(out)
     return out
 
 

@@ -101,3 +101,22 @@ def test_action_set(spark):
     left = spark.createDataFrame([("t", 10, 2), ("u", 5, 1)], "task string, tokens_left int, units_left int")
     got = {(r.task, r.kind, r.first, r.second, r.token_cost) for r in P.action_set(c, edges, left).collect()}
     assert got == {("t", "single", "a", None, 4), ("t", "single", "b", None, 5), ("t", "single", "c", None, 9), ("t", "single", "d", None, 0), ("t", "pair", "a", "b", 9), ("t", "stop", None, None, 0), ("u", "stop", None, None, 0)}
+
+
+def test_labels_in_shares(spark, tmp_path, monkeypatch):
+    """Labels of orders in shares are those of all at once, and only the labels stay on disk."""
+    from corvane import session
+    from corvane.plans import states
+
+    rows = [(o, p, f, s, float(p)) for o in range(40) for p, f, s in ((o % 7, "A", "F"), (o % 5 + 7, "R", "F"), (o % 3 + 12, "N", "O"))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_returnflag string, l_linestatus string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, p * 5) for p in range(15)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    made, gone = [], []
+    plain, remove = session._remove, session.shared_dir
+    monkeypatch.setattr(session, "shared_dir", lambda s: made.append(1) or remove(s))
+    monkeypatch.setattr(session, "_remove", lambda s, p: gone.append(p) or plain(s, p))
+    whole = sorted(map(str, states.action_labels(spark, str(tmp_path)).collect()))
+    assert len(made) == 4 and len(gone) == 3 and not any("labels" in p for p in gone)
+    monkeypatch.setattr(states, "SHARE", 30)
+    made.clear()
+    assert sorted(map(str, states.action_labels(spark, str(tmp_path)).collect())) == whole and len(made) == 16
