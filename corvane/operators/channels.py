@@ -207,6 +207,8 @@ def retrieve(universe: DataFrame, files: DataFrame, units: DataFrame, asked: Dat
     symbol = overlap(own, near, F.coalesce("symbol", F.lit("")), asked, symbols, limit).select("task", F.lit("symbol").alias("channel"), "evidence", "rank")
     around = held.join(edges.select(F.col("source").alias("evidence"), "target"), "evidence").select("task", F.col("target").alias("evidence")).join(units.select("evidence"), "evidence", "left_semi")
     around = structure(around, held, edges, limit).select("task", F.lit("structure").alias("channel"), "evidence", "rank")
+    # Each is written, so that what one shuffles is gone before the next begins, and the driver plans them one by one.
+    content, path, symbol, around = (materialize(x, "channel") for x in (content, path, symbol, around))
     return rrf(content.unionByName(path).unionByName(symbol).unionByName(around), "task", "channel", "evidence", "rank", limit=limit)
 
 

@@ -36,3 +36,11 @@ def test_against_sql(spark, name):
     want = sorted(tuple(map(clean, r)) for r in want.fetchall())
     got = sorted(tuple(clean(r[c]) for c in cols) for r in catalog.QUERIES[name](spark, DATA).collect())
     assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in want]
+
+
+def test_retrieval_is_planned_in_steps(spark):
+    """The last plan fuses written channels; it holds none of their joins."""
+    from corvane.plans import catalog
+
+    plan = catalog.QUERIES["rag_pipeline"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") < 10
